@@ -80,6 +80,21 @@ def with_order_bucket(df: DataFrame, order_by: Sequence[str], out: str = "_seg")
     return wide.withColumn(out, seg.cast("int")).drop(*[f"_{k}{i}" for k in "bc" for i in range(len(leaves))])
 
 
+def with_value_bucket(df: DataFrame, value: str, out: str, alone: str) -> DataFrame:
+    """Bucket along a column; `alone` marks the buckets that hold one single value.
+
+    Every value that equals a bound gets a bucket of its own, so the other buckets hold a
+    bounded share of the rows whatever the frequencies are.
+    """
+    n = bucket_count(df.sparkSession)
+    v = F.col(q(value)).cast("double")
+    stats = df.agg(_bounds(v, n).alias("_b0")).select("_b0", _coarse("_b0", n).alias("_c0"))
+    wide = df.crossJoin(F.broadcast(stats))  # one row, a fixed number of array elements
+    first = _bucket(v, "_b0", "_c0", n)
+    wide = wide.withColumn(alone, F.coalesce(F.get(F.col("_b0"), first) == v, F.lit(False)))
+    return wide.withColumn(out, (first * 2 + F.col(alone).cast("int")).cast("int")).drop("_b0", "_c0")
+
+
 def value_counts(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Distinct non-null values per group with their number of rows (`_cnt`)."""
     kept = df.where(F.col(q(value)).isNotNull())
