@@ -57,17 +57,20 @@ def order_leaves(df: DataFrame, order_by: Sequence[str]) -> list[Column]:
     return leaves
 
 
-def with_order_bucket(df: DataFrame, order_by: Sequence[str], out: str = "_seg") -> DataFrame:
+def with_order_bucket(
+    df: DataFrame, order_by: Sequence[str], out: str = "_seg", seen: Column | None = None
+) -> DataFrame:
     """Add a bucket number that never decreases along `order_by`.
 
     A value that equals a bound may be very frequent, so its rows are cut again by the
-    second ordering column.
+    second ordering column. `seen` limits the rows the bounds are taken from.
     """
     leaves = order_leaves(df, order_by)
     if not leaves:
         raise ValueError(f"ordering must start with a numeric or time column: {list(order_by)}")
     n = bucket_count(df.sparkSession)
-    stats = df.agg(*[_bounds(leaf, n).alias(f"_b{i}") for i, leaf in enumerate(leaves)])
+    sampled = leaves if seen is None else [F.when(seen, leaf) for leaf in leaves]
+    stats = df.agg(*[_bounds(leaf, n).alias(f"_b{i}") for i, leaf in enumerate(sampled)])
     stats = stats.select("*", *[_coarse(f"_b{i}", n).alias(f"_c{i}") for i in range(len(leaves))])
     # one row, a fixed number of array elements
     wide = df.crossJoin(F.broadcast(stats))
@@ -104,7 +107,8 @@ def value_counts(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFra
 
 
 def _bucketed_offsets(hist: DataFrame, value: str, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    cut = with_order_bucket(hist, [value])
+    # reading the counts here makes the bounds use the same shuffled counts as the other branches
+    cut = with_order_bucket(hist, [value], seen=F.col("_cnt") > 0)
     totals = cut.groupBy(*keys, "_seg").agg(F.sum("_cnt").alias("_in"))
     per_key = Window.partitionBy(*keys)  # at most one row per bucket
     offsets = totals.select(
