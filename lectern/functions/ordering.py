@@ -38,23 +38,21 @@ def _bucket(value: Column, bounds: str, coarse: str, buckets: int) -> Column:
     return first + F.size(F.filter(F.slice(F.col(bounds), first + 1, F.lit(step)), lambda b: b < value))
 
 
+def _leaves(column: Column, kind: T.DataType) -> list[tuple[Column, T.DataType]]:
+    if isinstance(kind, T.StructType):
+        return [x for f in kind.fields for x in _leaves(column.getField(f.name), f.dataType)]
+    return [(column, kind)]
+
+
 def order_leaves(df: DataFrame, order_by: Sequence[str]) -> list[Column]:
     """The first two atomic columns of an ordering, as doubles; struct fields count one by one."""
-    leaves: list[Column] = []
-    for name in order_by:
-        kind = df.schema[name].dataType
-        fields = [(F.col(q(name)), kind)]
-        if isinstance(kind, T.StructType):
-            fields = [(F.col(q(name)).getField(f.name), f.dataType) for f in kind.fields]
-        for column, leaf in fields:
-            if not isinstance(leaf, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)):
-                return leaves
-            if isinstance(leaf, (T.TimestampNTZType, T.DateType)):
-                column = column.cast("timestamp")
-            leaves.append(column.cast("double"))
-            if len(leaves) == 2:
-                return leaves
-    return leaves
+    times = (T.TimestampType, T.TimestampNTZType, T.DateType)
+    out: list[Column] = []
+    for column, kind in [x for c in order_by for x in _leaves(F.col(q(c)), df.schema[c].dataType)][:2]:
+        if not isinstance(kind, (T.NumericType, *times)):
+            break
+        out.append((column.cast("timestamp") if isinstance(kind, times) else column).cast("double"))
+    return out
 
 
 def with_order_bucket(
@@ -198,7 +196,9 @@ def ordered_window(
     """Row number, previous value and running maximum per group in the given order.
 
     Each group is cut along the order, windows run inside a piece, and the last row, the
-    row count and the maximum of every piece are carried into the next one.
+    row count and the maximum of every piece are carried into the next one. The input is
+    read three times (bounds, carried values, rows), so it should be a table or persisted.
+    Keys must not be null.
     """
     lag, running_max = lag or {}, running_max or {}
     cut = with_order_bucket(df, order_by)

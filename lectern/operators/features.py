@@ -137,10 +137,14 @@ def generate_features(
     weights: dict[str, float] | None = None,
     features: dict[str, Feature] | None = None,
 ) -> DataFrame:
-    out = session_frequency(df, order_by)
-    out = video_completion(out, threshold)
+    """All features. The input is persisted: the windows and the scaling read it several times.
+
+    Scaling comes before the window over scores, so that its minimum and maximum do not
+    depend on that window.
+    """
+    out = session_frequency(df.persist(), order_by)
+    out = student_engagement(video_completion(out, threshold), weights)
     out = assessment_improvement(out, order_by, method)
-    out = student_engagement(out, weights)
     out = final_score(dropout_flag(out))
     return custom_features(out, features or {})[0]
 

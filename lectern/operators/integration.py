@@ -168,7 +168,7 @@ def integrity_issues(df: DataFrame) -> DataFrame:
     """Null ids and members of repeated (student, course) pairs; one row."""
     keys = [c for c in ("student_id", "course_id") if c in df.columns]
     pairs = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    zero = F.lit(0)
+    zero = F.lit(0).cast("long")
 
     def rows(cond: Column) -> Column:
         return F.coalesce(F.sum(F.when(cond, F.col("_n"))), zero)

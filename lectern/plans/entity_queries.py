@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import charts, courses, learners, programs, videos
-from lectern.plans.registry import Registry
+from lectern.plans.registry import Registry, as_doubles
 from lectern.plans.sql import REF, days, rnd, with_tables
 from lectern.plans.tables import REFERENCE_DATE, ROW_ID
 
@@ -367,16 +367,19 @@ def _charts(r: Registry) -> None:
     )
     r.add(
         "set_1_tagged_union",
-        lambda t: charts.tagged_union(
-            {
-                "course": t.course_activity().select("email", "course_id", "progress_pct"),
-                "video": t.video_activity().select("email", "course_id", "watch_count"),
-                "program": t.program_activity().select("email", "program_id", "progress_pct"),
-            }
+        lambda t: as_doubles(
+            charts.tagged_union(
+                {
+                    "course": t.course_activity().select("email", "course_id", "progress_pct"),
+                    "video": t.video_activity().select("email", "course_id", "watch_count"),
+                    "program": t.program_activity().select("email", "program_id", "progress_pct"),
+                }
+            ),
+            ["watch_count"],
         ),
         with_tables(
             "ca va pa",
-            """SELECT email, course_id, progress_pct, NULL::BIGINT AS watch_count, NULL::VARCHAR AS program_id, 'course' AS _source FROM ca
+            """SELECT email, course_id, progress_pct, NULL::DOUBLE AS watch_count, NULL::VARCHAR AS program_id, 'course' AS _source FROM ca
             UNION ALL SELECT email, course_id, NULL, watch_count, NULL, 'video' FROM va
             UNION ALL SELECT email, NULL, progress_pct, NULL, program_id, 'program' FROM pa""",
         ),

@@ -15,7 +15,15 @@ from lectern.plans.tables import Tables
 Query = Callable[[Tables], DataFrame]
 
 
-def comparable(df: DataFrame, digits: int = 6) -> DataFrame:
+DIGITS = 6
+
+
+def as_doubles(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Whole numbers that may be missing, as doubles, so that both engines show them alike."""
+    return df.withColumns({c: F.col(c).cast("double") for c in columns})
+
+
+def comparable(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Doubles to a fixed number of digits: sums differ in their last bits with the order of addition."""
     return df.select(
         *[
@@ -29,16 +37,18 @@ def comparable(df: DataFrame, digits: int = 6) -> DataFrame:
 class Registry:
     runs: dict[str, Query] = field(default_factory=dict)
     sql: dict[str, str] = field(default_factory=dict)
+    digits: dict[str, int] = field(default_factory=dict)
 
-    def add(self, name: str, run: Query, sql: str | None = None) -> None:
+    def add(self, name: str, run: Query, sql: str | None = None, digits: int = DIGITS) -> None:
         if name in self.runs:
             raise ValueError(f"query {name} exists")
         self.runs[name] = run
+        self.digits[name] = digits
         if sql is not None:
             self.sql[name] = sql
 
     def callables(self) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-        def bind(run: Query) -> Callable[[SparkSession, str], DataFrame]:
-            return lambda spark, folder: comparable(run(Tables(spark, folder)))
+        def bind(name: str, run: Query) -> Callable[[SparkSession, str], DataFrame]:
+            return lambda spark, folder: comparable(run(Tables(spark, folder)), self.digits[name])
 
-        return {name: bind(run) for name, run in self.runs.items()}
+        return {name: bind(name, run) for name, run in self.runs.items()}

@@ -269,14 +269,28 @@ def insight_sql() -> dict[str, str]:
     }
 
 
-# unit names of the insight queries: a learner's unit, with the small lines of one unit held back,
-# so that a weak unit exists
-UNIT_SQL = """SELECT *, CASE WHEN progress_pct < 90 AND o3 % 4 = 0 THEN 'Field' ELSE role END AS unit FROM ca"""
+# all enrolments with little progress belong to one unit, so that a weak unit exists
+UNIT_SQL = "SELECT *, CASE WHEN progress_pct < 84 THEN 'Field' ELSE role END AS unit FROM ca"
 
 
 def _unit_activity(t: Tables):
-    weak = (F.col("progress_pct") < 90) & (F.col(f"{ROW_ID}.l_partkey") % 4 == 0)
-    return t.course_activity().withColumn("business_unit", F.when(weak, "Field").otherwise(F.col("role")))
+    unit = F.when(F.col("progress_pct") < 84, "Field").otherwise(F.col("role"))
+    return t.course_activity().withColumn("business_unit", unit)
+
+
+def _ratio_by_year(t: Tables):
+    """Each learner's years as learners of their own, with categories by mean progress."""
+    year = F.concat("email", F.lit("-"), F.year("enrollment_ts").cast("string"))
+    yearly = t.course_activity().withColumn("email", year)
+    scores = engagement.progress_component(yearly).select("email", engagement.category("progress_component").alias("category"))
+    return insights.engagement_ratio(insights.learner_cube(yearly), scores)
+
+
+RATIO_TABLES = {
+    "cy": "SELECT * REPLACE (email || '-' || year(enrollment_ts) AS email) FROM ca",
+    "ey": """SELECT email, CASE WHEN m >= 75 THEN 'High' WHEN m >= 50 THEN 'Medium' WHEN m >= 25 THEN 'Low' ELSE 'At-Risk' END
+        AS category FROM (SELECT email, avg(progress_pct) AS m FROM cy GROUP BY email)""",
+}
 
 
 def _finished_programs(t: Tables):
@@ -299,6 +313,11 @@ def _insights(r: Registry) -> None:
     add("ins_1_overall_completion", lambda t: insights.overall_completion(insights.activity_cube(t.course_activity())), "overall")
     add("ins_2_course_extremes", lambda t: insights.course_extremes(insights.activity_cube(t.course_activity())), "courses")
     add("ins_3_engagement_ratio", lambda t: insights.engagement_ratio(insights.learner_cube(t.course_activity()), t.engagement()), "ratio")
+    r.add(
+        "ins_3_engagement_ratio_by_year",
+        lambda t: _ratio_by_year(t).select(*shown),
+        with_tables("ca", sql["ratio"].replace("FROM ca ", "FROM cy ").replace("JOIN eng ", "JOIN ey "), **RATIO_TABLES),
+    )
     add("ins_4_at_risk_share", lambda t: insights.at_risk_share(t.engagement()), "at_risk")
     add("ins_5_drop_off_zone", lambda t: insights.drop_off_zone(insights.activity_cube(t.course_activity())), "drop_off")
     add("ins_6_weak_business_units", lambda t: insights.weak_business_units(insights.activity_cube(_unit_activity(t))), "units")

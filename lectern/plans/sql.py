@@ -9,6 +9,15 @@ REF = f"TIMESTAMP '{REFERENCE_DATE} 00:00:00'"
 ROW_ORDER = "o1, o2, o3, o4, o5, o6"
 
 
+# irregular weights for comparisons: with round ones, many scores lie exactly on a rounding tie
+PROBE_WEIGHTS = {
+    "session_frequency": 0.3141593,
+    "video_completion": 0.2345671,
+    "assessment_score": 0.2567891,
+    "forum_activity": 0.1944845,
+}
+
+
 def rnd(expr: str, digits: int = 6) -> str:
     """Half-even rounding of the scaled double."""
     return f"(round_even(CAST({expr} AS DOUBLE) * 1e{digits}, 0) / 1e{digits})"
