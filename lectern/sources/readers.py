@@ -12,7 +12,6 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.exprs import q
 from lectern.functions.fixed import (
     EXPORT_FILE_WORDS,
     EXPORT_HEADERS,
@@ -21,17 +20,17 @@ from lectern.functions.fixed import (
 )
 
 ROW_ID = "_row_id"
-BAD_CHARACTER = "�"
 
 
 def list_files(spark: SparkSession, folder: str) -> list[str]:
-    """Full paths of the files in a folder of any Hadoop file system, by name."""
+    """Files in a folder of any Hadoop file system, by name; a folder of parts named *.csv counts as one."""
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
         raise NotADirectoryError(f"Not a directory: {folder}")
-    return sorted(s.getPath().toString() for s in fs.listStatus(path) if s.isFile())
+    found = [(s.getPath().toString(), s.isFile()) for s in fs.listStatus(path)]
+    return sorted(name for name, is_file in found if is_file or name.lower().endswith(".csv"))
 
 
 def exists(spark: SparkSession, file: str) -> bool:
@@ -56,12 +55,8 @@ def read_csv(spark: SparkSession, file: str | list[str], encoding: str = "utf-8"
 
 
 def detect_encoding(spark: SparkSession, file: str) -> str:
-    """utf-8, or latin-1 if any line does not decode as utf-8.
-
-    The utf-8 decoder leaves a replacement character for a bad byte. The lines are
-    searched by the executors, and the search stops at the first hit.
-    """
-    bad = spark.read.text(file).where(F.contains(F.col("value"), F.lit(BAD_CHARACTER))).limit(1)
+    """utf-8, or latin-1 if any line does not decode as utf-8; searched by the executors."""
+    bad = spark.read.text(file).where(~F.is_valid_utf8("value")).limit(1)
     return "latin1" if bad.count() else "utf-8"
 
 
@@ -98,12 +93,12 @@ def check_student_source(
     return True
 
 
-def with_provenance(df: DataFrame, source_type: str | None) -> DataFrame:
+def with_provenance(df: DataFrame, file: str, source_type: str | None) -> DataFrame:
     """Add the row order, file and kind that later steps may need."""
     return df.select(
         "*",
         F.monotonically_increasing_id().alias(ROW_ID),
-        F.col("_metadata.file_path").alias("_source_file"),
+        F.lit(_base(file)).alias("_source_file"),
         F.lit(source_type).alias("_source_type"),
     )
 
@@ -120,16 +115,16 @@ def _open(spark: SparkSession, file: str) -> DataFrame:
 def read_export(spark: SparkSession, file: str, kind: str) -> DataFrame:
     """One course, program, specialization or video export, with internal headers."""
     df = _open(spark, file)
-    renamed = normalise_headers(df, kind)
-    check_export(renamed, kind, _base(file))
-    return rename_existing(with_provenance(df, kind), {k: v for k, v in zip(df.columns, renamed.columns)})
+    df = normalise_headers(df, kind)
+    check_export(df, kind, _base(file))
+    return with_provenance(df, file, kind)
 
 
 def read_student_source(spark: SparkSession, file: str, source: str | None = None) -> DataFrame:
     df = _open(spark, file)
     if source:
         check_student_source(df, source)
-    return with_provenance(df, source)
+    return with_provenance(df, file, source)
 
 
 def read_directory(
@@ -183,7 +178,7 @@ def load_log(frames: dict[str, DataFrame]) -> DataFrame:
     for kind, df in frames.items():
         data_columns = [c for c in df.columns if c not in (ROW_ID, "_source_file", "_source_type")]
         part = (
-            df.groupBy(F.element_at(F.split("_source_file", "/"), -1).alias("file"))
+            df.groupBy(F.col("_source_file").alias("file"))
             .agg(F.count(F.lit(1)).alias("rows"))
             .select("file", F.lit(kind).alias("source_type"), "rows", F.lit(len(data_columns)).alias("columns"))
         )
@@ -196,7 +191,3 @@ def load_log(frames: dict[str, DataFrame]) -> DataFrame:
 def read_id_map(spark: SparkSession, file: str) -> DataFrame:
     """Student id map: the canonical id and one id column per source."""
     return read_csv(spark, file)
-
-
-def select_headers(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    return df.select(*[F.col(q(n)) for n in names])
