@@ -116,7 +116,7 @@ def significance_text(p: str | Column, digits: int) -> Column:
     """p-value text with *** below 0.001, ** below 0.01 and * below 0.05."""
     value = _col(p)
     stars = F.when(value < 0.001, "***").when(value < 0.01, "**").when(value < 0.05, "*").otherwise("")
-    return F.concat(F.format_string(f"%.{digits}f", value), stars)
+    return F.concat(F.format_string(f"%.{digits}f", rounded(value, digits)), stars)
 
 
 def numeric_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:

@@ -52,8 +52,8 @@ def clustering(
     distances, which needs only one pass.
     """
     columns = [c for c in features if c in df.columns]
-    raw = _points(df, columns, key).persist()
-    scaled = standardised(raw, columns).persist()
+    raw = cut_lineage(_points(df, columns, key))
+    scaled = cut_lineage(standardised(raw, columns))
     if method == "kmeans":
         vectors = assembled(scaled, columns).persist()
         runs = [KMeans(k=n_clusters, seed=SEED + i).fit(vectors) for i in range(starts)]
@@ -66,7 +66,7 @@ def clustering(
         labels = dbscan(scaled, columns, "_key", eps, min_samples)
     else:
         raise ValueError(f"Unknown clustering method: {method}")
-    labels = labels.persist()
+    labels = cut_lineage(labels)
     kinds = labels.groupBy().agg(
         F.countDistinct("cluster").alias("all"), F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("k")
     ).first()

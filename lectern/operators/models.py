@@ -1,4 +1,8 @@
-"""Regression and classification with Spark ML, and the learner prediction tasks."""
+"""Regression and classification with Spark ML, and the learner prediction tasks.
+
+The prepared rows are checkpointed once: every fit and fold then starts from files instead
+of the plan that made them, and survives the loss of executors.
+"""
 
 from __future__ import annotations
 
@@ -26,6 +30,7 @@ from pyspark.sql import types as T
 from lectern.functions.exprs import numeric_columns, q, rounded
 from lectern.functions.ordering import exact_quantiles
 from lectern.operators.features import model_inputs
+from lectern.session import cut_lineage
 
 SEED = 42
 REGRESSION = ("linear", "ridge", "lasso", "random_forest", "gradient_boosting")
@@ -192,7 +197,7 @@ def regression(
 ) -> dict[str, DataFrame]:
     """Fit on the training part; quality on the test part and over folds, importances, predictions."""
     data, columns = prepare(df, target, features, key)
-    data = with_folds(split(assembled(data, columns), test_size), cv_folds).persist()
+    data = cut_lineage(with_folds(split(assembled(cut_lineage(data), columns), test_size), cv_folds))
     rows = data.agg(F.count_if(~F.col("_test")).alias("train"), F.count_if("_test").alias("test")).first()
     model = regressor(model_type, rows["train"], trees).fit(data.where(~F.col("_test")))
     tested = model.transform(data.where("_test")).persist()
@@ -226,7 +231,8 @@ def classification(
 ) -> dict[str, DataFrame]:
     """Like `regression`, with a stratified split, a confusion matrix and class metrics."""
     data, columns = prepare(df, target, features, key)
-    data = with_folds(split(_vectors(data, columns, model_type), test_size, stratify=True), cv_folds).persist()
+    data = _vectors(cut_lineage(data), columns, model_type)
+    data = cut_lineage(with_folds(split(data, test_size, stratify=True), cv_folds))
     rows = data.agg(
         F.count_if(~F.col("_test")).alias("train"), F.count_if("_test").alias("test"),
         F.countDistinct("label").alias("classes"),
@@ -280,12 +286,12 @@ def train_and_score(
     spark = labelled.sparkSession
     columns = model_inputs(labelled, ["_label"])
     data, columns = prepare(labelled, "_label", columns, "email")
-    data = standardised(data.persist(), columns)
+    data = standardised(cut_lineage(data), columns)
     per = {r["label"]: r["n"] for r in data.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(per) < 2:
         return {"metrics": _summary(spark, task=task, error=f"Only one class present for {task}. Cannot train.")}
     folds = min(cv_folds, max(2, min(per.values())))
-    data = with_folds(split(assembled(data, columns), test_size, stratify=True), folds).persist()
+    data = cut_lineage(with_folds(split(assembled(data, columns), test_size, stratify=True), folds))
     train = data.where(~F.col("_test"))
     rows = sum(per.values()) - data.where("_test").count()
 

@@ -202,7 +202,7 @@ def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
     cut = with_value_bucket(with_value_bucket(joint, "x", "_bx", "_ax"), "y", "_by", "_ay").persist()
     # table of cells: bounded by the square of the number of buckets
     cells = cut.groupBy("_bx", "_by").agg(F.sum("_cnt").alias("_cnt"))
-    cross = cells.groupBy(F.lit(0)).applyInPandas(_pair_signs("_bx", "_by"), _SIGNS)
+    cross = cells.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_pair_signs("_bx", "_by"), _SIGNS)
     same_x = cut.where(~F.col("_ax")).groupBy("_bx").applyInPandas(_pair_signs("x", "y"), _SIGNS)
     same_y = cut.where(~F.col("_ay")).groupBy("_by").applyInPandas(_pair_signs("_bx", "y"), _SIGNS)
     score = cross.unionByName(same_x).unionByName(same_y).agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))

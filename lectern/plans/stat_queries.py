@@ -153,15 +153,12 @@ def _statistics(r: Registry) -> None:
         lambda t: statistics.format_table(
             t.raw("events").select("event_id", (F.col("value") / 2000).alias("p_value"), F.col("value").alias("score"))
         ),
-        f"""SELECT event_id, format('{{:.3f}}', round_even(CAST({p} AS DECIMAL(20, 10)), 3)::DOUBLE) || {stars} AS p_value,
-            {rnd('value', 3)} AS score FROM events""".replace(
-            "round_even(CAST(value / 2000 AS DECIMAL(20, 10)), 3)::DOUBLE", "round(CAST(value / 2000 AS DECIMAL(20, 10)), 3)::DOUBLE"
-        ),
+        f"SELECT event_id, format('{{:.3f}}', {rnd(p, 3)}) || {stars} AS p_value, {rnd('value', 3)} AS score FROM events",
     )
     r.add(
         "scl_14_significance_text",
         lambda t: t.raw("events").select("event_id", significance_text(F.col("value") / 2000, 5).alias("p_text")),
-        f"SELECT event_id, format('{{:.5f}}', round(CAST({p} AS DECIMAL(20, 10)), 5)::DOUBLE) || {stars} AS p_text FROM events",
+        f"SELECT event_id, format('{{:.5f}}', {rnd(p, 5)}) || {stars} AS p_text FROM events",
     )
 
 
@@ -237,7 +234,7 @@ def _models(r: Registry) -> None:
     for kind in ("linear", "ridge", "lasso"):
         r.add(
             f"ml_3_regression_{kind}",
-            lambda t, kind=kind: models.regression(_matrix(t), "avg_progress", "email", BEHAVIOUR, kind)["metrics"],
+            lambda t, kind=kind: models.regression(_matrix(t), "avg_progress", "email", BEHAVIOUR, kind, cv_folds=3)["metrics"],
         )
     for kind in ("random_forest", "gradient_boosting"):
         r.add(
