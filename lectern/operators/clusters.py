@@ -232,10 +232,11 @@ def _cell_edges(
             across = F.greatest(F.col(f"a_hi{i}") - F.col(f"b_lo{i}"), F.col(f"b_hi{i}") - F.col(f"a_lo{i}"))
             gap, span = gap + between * between, span + across * across
         sample = _distance2([F.col(f"a_r.r{i}") for i in dims], [F.col(f"b_r.r{i}") for i in dims])
-        single = F.lit(True)
+        flat = F.lit(True)
         for s in "ab":
             for i in dims:
-                single = single & (F.col(f"{s}_lo{i}") == F.col(f"{s}_hi{i}"))
+                flat = flat & (F.col(f"{s}_lo{i}") == F.col(f"{s}_hi{i}"))
+        single = flat | F.lit(level >= 52)  # halves finer than a double can tell apart
         limit = eps * eps
         judged = cut_lineage(
             step.select(

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import cache
 
-from lectern.plans import entity_queries, model_queries, score_queries, stat_queries
+from lectern.plans import entity_queries, io_queries, model_queries, score_queries, stat_queries
 from lectern.plans.registry import Registry
 
-SECTIONS = (entity_queries, score_queries, model_queries, stat_queries)
+SECTIONS = (entity_queries, score_queries, model_queries, stat_queries, io_queries)
 
 
 @cache

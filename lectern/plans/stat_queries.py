@@ -263,7 +263,7 @@ def _models(r: Registry) -> None:
     r.add(
         "ml_8_dbscan",
         lambda t: clusters.clustering(
-            _matrix(t).withColumn("id", F.col("email").cast("long")), CLUSTER_INPUTS[:2], "id", "dbscan", eps=0.12
+            _matrix(t).withColumn("id", F.col("email").cast("long")), CLUSTER_INPUTS[:2], "id", "dbscan", eps=0.25
         )["labels"],
     )
     r.add(

@@ -50,9 +50,14 @@ def scratch_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the checkpoint folder, so that later steps start from files."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` to a table in the checkpoint folder and start again from it.
+
+    A table rather than a checkpointed plan: its size is known, so the next join is planned
+    on facts, and loops do not carry the size estimates of all earlier rounds along.
+    """
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bucket_count(spark: SparkSession) -> int:
