@@ -37,7 +37,9 @@ def incomplete_beta(a: float, b: float, x: float, y: float) -> float:
         else:
             term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         value = 1.0 + term / value
-    log_front = a * math.log(x) + b * math.log(y) - math.log(a)
+    log_x = math.log(x) if x < 0.5 else math.log1p(-y)
+    log_y = math.log(y) if y < 0.5 else math.log1p(-x)
+    log_front = a * log_x + b * log_y - math.log(a)
     log_front += _log_gamma_step(max(a, b), min(a, b)) - math.lgamma(min(a, b))
     return math.exp(log_front) / value
 

@@ -89,12 +89,16 @@ def with_folds(df: DataFrame, folds: int, seed: int = SEED) -> DataFrame:
     return df.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_key").cast("string")), F.lit(folds)))
 
 
-def regressor(kind: str, rows: int, trees: int = 100, depth: int = 10):
-    """Estimator of a kind; penalties are given per sum of squares, so ridge depends on the rows."""
+def regressor(kind: str, rows: int, spread: float = 1.0, trees: int = 100, depth: int = 10):
+    """Estimator of a kind.
+
+    Penalties of 1 refer to the sum of squares for ridge and to the mean for lasso. Spark
+    scales the label by its deviation (`spread`) first, which the squared penalty must undo.
+    """
     if kind == "linear":
         return LinearRegression(standardization=False)
     if kind == "ridge":
-        return LinearRegression(regParam=1.0 / max(rows, 1), elasticNetParam=0.0, standardization=False)
+        return LinearRegression(regParam=spread / max(rows, 1), elasticNetParam=0.0, standardization=False)
     if kind == "lasso":
         return LinearRegression(regParam=1.0, elasticNetParam=1.0, standardization=False)
     if kind == "random_forest":
@@ -199,12 +203,17 @@ def regression(
     data, columns = prepare(df, target, features, key)
     data = cut_lineage(with_folds(split(assembled(cut_lineage(data), columns), test_size), cv_folds))
     rows = data.agg(F.count_if(~F.col("_test")).alias("train"), F.count_if("_test").alias("test")).first()
-    model = regressor(model_type, rows["train"], trees).fit(data.where(~F.col("_test")))
+
+    def fit(part: DataFrame) -> Model:
+        size = part.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s")).first()
+        return regressor(model_type, size["n"], size["s"] or 1.0, trees).fit(part)
+
+    model = fit(data.where(~F.col("_test")))
     tested = model.transform(data.where("_test")).persist()
     score = {m: RegressionEvaluator(metricName=m).evaluate(tested) for m in ("r2", "rmse", "mae")}
     folds = []
     for i in range(cv_folds):
-        part = regressor(model_type, rows["train"], trees).fit(data.where(F.col("_fold") != i))
+        part = fit(data.where(F.col("_fold") != i))
         folds.append(RegressionEvaluator(metricName="r2").evaluate(part.transform(data.where(F.col("_fold") == i))))
     spark = df.sparkSession
     metrics = _summary(

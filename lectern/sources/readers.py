@@ -57,7 +57,7 @@ def read_csv(spark: SparkSession, file: str | list[str], encoding: str = "utf-8"
 def detect_encoding(spark: SparkSession, file: str) -> str:
     """utf-8, or latin-1 if any line does not decode as utf-8; searched by the executors."""
     bad = spark.read.text(file).where(~F.is_valid_utf8("value")).limit(1)
-    return "latin1" if bad.count() else "utf-8"
+    return "ISO-8859-1" if bad.count() else "utf-8"
 
 
 def read_csv_any_encoding(spark: SparkSession, file: str, multiline: bool = False) -> DataFrame:

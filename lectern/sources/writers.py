@@ -29,7 +29,7 @@ def export_table(df: DataFrame, folder: str, name: str, fmt: str = "csv", stamp:
     suffix = f"_{stamp:%Y%m%d_%H%M%S}" if stamp else ""
     path = f"{folder.rstrip('/')}/{name}{suffix}"
     if fmt == "csv":
-        flat(df).write.mode("error").option("header", True).csv(path)
+        flat(df).write.mode("error").option("header", True).option("escape", '"').csv(path)
     else:
         df.write.mode("error").parquet(path)
     return path
