@@ -156,9 +156,9 @@ def skill_timeline(
         F.lit(0.0), F.coalesce("progress_pct", F.lit(0.0)) * 0.7 + F.when(F.col("is_completed"), 30.0).otherwise(0.0)
     )
     ordering = [c for c in order_by if c != "enrollment_ts"]
-    rows = mine.select("email", "course_id", "enrollment_ts", *ordering, gained.alias("_gain")).join(
-        skills, "course_id"
-    )
+    # the window reads its input three times: keep the few columns it needs
+    slim = mine.select("email", "course_id", "enrollment_ts", *ordering, gained.alias("_gain")).persist()
+    rows = slim.join(skills, "course_id")
     best = ordered_window(rows, ["email", "skill_name"], ["enrollment_ts", *ordering], running_max={"_best": "_gain"})
     return best.select(
         "email",
