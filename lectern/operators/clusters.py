@@ -60,8 +60,10 @@ def clustering(
         labels = min(runs, key=lambda m: m.summary.trainingCost).transform(vectors)
         labels = labels.select("_key", F.col("prediction").alias("cluster"))
     elif method == "hierarchical":
-        model = BisectingKMeans(k=n_clusters, seed=SEED).fit(assembled(scaled, columns))
-        labels = model.transform(assembled(scaled, columns)).select("_key", F.col("prediction").alias("cluster"))
+        # the first split starts from a fraction of the centre's length, which must not be zero
+        moved = assembled(scaled.withColumns({c: F.col(q(c)) + 1.0 for c in columns}), columns)
+        model = BisectingKMeans(k=n_clusters, seed=SEED).fit(moved)
+        labels = model.transform(moved).select("_key", F.col("prediction").alias("cluster"))
     elif method == "dbscan":
         labels = dbscan(scaled, columns, "_key", eps, min_samples)
     else:

@@ -299,6 +299,11 @@ def train_and_score(
     per = {r["label"]: r["n"] for r in data.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(per) < 2:
         return {"metrics": _summary(spark, task=task, error=f"Only one class present for {task}. Cannot train.")}
+    if min(per.values()) < 2:
+        return {"metrics": _summary(spark, task=task, error=f"A class of {task} has a single member. Cannot train.")}
+    # both classes are declared, as a fold may hold only one
+    nominal = {"ml_attr": {"type": "nominal", "vals": ["0.0", "1.0"]}}
+    data = data.withColumn("label", F.col("label").alias("label", metadata=nominal))
     folds = min(cv_folds, max(2, min(per.values())))
     data = cut_lineage(with_folds(split(assembled(data, columns), test_size, stratify=True), folds))
     train = data.where(~F.col("_test"))

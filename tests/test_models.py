@@ -67,12 +67,13 @@ def test_task_with_one_class(spark):
     assert "Only one class" in out["metrics"].first()["error"] and set(out) == {"metrics"}
 
 
-def test_kmeans_recovers_planted_clusters(spark):
+@pytest.mark.parametrize("method", ["kmeans", "hierarchical"])
+def test_planted_clusters_are_recovered(spark, method):
     spots = np.array([[0, 0], [10, 0], [0, 10]])
     truth = np.arange(150) % 3
     xy = spots[truth] + RNG.normal(0, 0.3, (150, 2))
     df = spark.createDataFrame(pd.DataFrame({"id": range(150), "x": xy[:, 0], "y": xy[:, 1]}))
-    out = clusters.clustering(df, ["x", "y"], "id", "kmeans", 3, starts=2)
+    out = clusters.clustering(df, ["x", "y"], "id", method, 3, starts=2)
     assert sorted(r["n"] for r in out["sizes"].collect()) == [50, 50, 50]
     assert out["metrics"].first()["silhouette_score"] > 0.9
     with pytest.raises(ValueError):
