@@ -21,14 +21,7 @@ def _log_gamma_step(a: float, b: float) -> float:
     return (a - 0.5) * math.log1p(b / a) + b * math.log(a + b) - b + 1 / (12 * (a + b)) - 1 / (12 * a)
 
 
-def incomplete_beta(a: float, b: float, x: float, y: float) -> float:
-    """Regularised I_x(a, b); y is 1 - x, given apart so that it keeps its precision."""
-    if any(math.isnan(v) for v in (a, b, x, y)):
-        return math.nan
-    if x <= 0.0 or y <= 0.0:
-        return 0.0 if x <= 0.0 else 1.0
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - incomplete_beta(b, a, y, x)
+def _fraction(a: float, b: float, x: float, y: float) -> float:
     value = 1.0
     for k in range(60 + 4 * math.isqrt(int(max(a, b)) + 1), 0, -1):
         m = k // 2
@@ -44,6 +37,18 @@ def incomplete_beta(a: float, b: float, x: float, y: float) -> float:
     return math.exp(log_front) / value
 
 
+def incomplete_beta(a: float, b: float, x: float, y: float) -> float:
+    """Regularised I_x(a, b); y is 1 - x, given apart so that it keeps its precision."""
+    if any(math.isnan(v) for v in (a, b, x, y)):
+        return math.nan
+    if x <= 0.0 or y <= 0.0:
+        return 0.0 if x <= 0.0 else 1.0
+    # with a very large a, the fraction of the near side would cancel for small statistics
+    if x > (a + 1.0) / (a + b + 2.0) or (a > 1e4 and a * y < 15.0):
+        return 1.0 - _fraction(b, a, y, x)
+    return _fraction(a, b, x, y)
+
+
 def t_two_sided(t: float, df: float) -> float:
     """P(|T| >= |t|) with df degrees of freedom."""
     if math.isinf(t):
