@@ -11,7 +11,7 @@ from check_oracle import TABLES, canon
 
 FOLDER = "/root/testdata/sf0.001"
 NAMES = [
-    "crs_1_completion_rates", "crs_3_time_to_completion", "lrn_4_completion_by_role", "vid_2_video_completion",
+    "crs_1_completion_rates", "crs_3_time_to_completion", "lrn_4_completion_by_role", "vid_3_rewatch_patterns",
     "eng_5_engagement_scores", "skl_3_skill_scores", "skl_7_skill_timeline", "cln_1_clean_export", "trf_1_learner_dimension",
     "int_3_integrate", "fea_3_assessment_improvement", "ins_11_all_insights", "src_3_validated_ingest",
 ]
