@@ -6,24 +6,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import packing, token_counts
+from lectern.llm import decontamination, line_crf, packing, pii, token_counts
+
+
+#: The key of the registered query only; in use, give a secret of your own.
+PII_KEY = "registered query"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op4_contaminated_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op6_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op7_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY)
+
+
+def op8_line_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = line_crf.train(docs, table(spark, folder, "labels"))
+    return line_crf.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"))
 
 
+QUERIES = (op4_contaminated_documents, op6_harmonic_packing, op7_surrogates, op8_line_quality, op9_token_counts)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_harmonic_packing, op9_token_counts)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_contaminated_documents": decontamination.ORACLE}
