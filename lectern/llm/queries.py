@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontamination, line_crf, packing, pii, token_counts
+from lectern.llm import chat_repair, decontamination, html_text, line_crf, multi_index, ngram_join, packing, pii, token_counts
 
 
 #: The key of the registered query only; in use, give a secret of your own.
@@ -17,10 +17,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, folder, "documents"))
+
+
+def op2_chat_role_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return chat_repair.repair(table(spark, folder, "conversations"))
+
+
+def op3_inverted_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    return multi_index.neighbours(table(spark, folder, "embeddings"))
+
+
 def op4_contaminated_documents(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op5_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html_text.extract(pages, html_text.train(pages))
+
+
 def op6_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
@@ -40,7 +57,9 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"))
 
 
-QUERIES = (op4_contaminated_documents, op6_harmonic_packing, op7_surrogates, op8_line_quality, op9_token_counts)
+QUERIES = (
+    op1_ngram_jaccard_join, op2_chat_role_repair, op3_inverted_multi_index, op4_contaminated_documents, op5_html_main_text, op6_harmonic_packing, op7_surrogates, op8_line_quality, op9_token_counts,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
