@@ -6,7 +6,7 @@ of the pairs of two sorted lists. The traversal stops when the cells hold enough
 computed on the original vectors.
 
 Equal vectors are one entry, which keeps the smallest ids only, as many as a result can need. A cell is dealt to chunks of a
-bounded size. Codebooks and the number of entries per cell have at most MAX_CODEWORDS and MAX_CODEWORDS^2 numbers, and
+bounded size. Codebooks and the number of entries per cell have at most MAX_CODEWORDS rows and MAX_CODEWORDS^2 numbers, and
 only they reach the driver and all executors.
 """
 
@@ -27,17 +27,18 @@ NEIGHBOURS = 10
 QUERY_STEP = 100
 #: Vectors that the codebooks are fitted on: the first by a hash of their components.
 SAMPLE = 20_000
-MAX_CODEWORDS = 256
-#: Share of all entries that the visited cells hold at least; measured recall is in the README.
-SHARE = 0.3
-#: Entries of a cell that one task compares with a query.
+#: Codewords of each half, if there are as many entries as cells.
+MAX_CODEWORDS = 32
+#: Share of all entries, and number of entries, that the visited cells hold at least; measured recall is in the README.
+SHARE = 0.5
+LEAST = 500
+#: Entries of a cell that stay together, and about as many as one task compares with its queries.
 CHUNK = 4096
 ROUNDS = 12
 
 
 def codewords(entries: int) -> int:
-    """Codewords of each half: about 32 entries in a cell on average."""
-    return max(1, min(MAX_CODEWORDS, round(math.sqrt(entries / 32))))
+    return max(1, min(MAX_CODEWORDS, round(math.sqrt(entries))))
 
 
 def codebook(x: np.ndarray, k: int) -> np.ndarray:
@@ -98,39 +99,50 @@ def _assign(books: tuple[np.ndarray, np.ndarray]) -> Callable[[Iterator[pd.DataF
     return run
 
 
-def _route(books: tuple[np.ndarray, np.ndarray], counts: np.ndarray, wanted: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def shard_of(cell, part, shards: int):
+    """Where a part of a cell lies; the same formula on numbers and on columns."""
+    return (cell * 7919 + part * 104_729) % shards
+
+
+def _route(books: tuple[np.ndarray, np.ndarray], counts: np.ndarray, wanted: int, shards: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Each query to the shards that hold the parts of its cells, with the cells to look at there."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         half = books[0].shape[1]
         flat = counts.ravel()
         for batch in batches:
             for query, vector in zip(batch["query_id"], batch["vector"], strict=True):
                 x = np.asarray(vector, dtype=float)
-                cells = traverse(((books[0] - x[:half]) ** 2).sum(1), ((books[1] - x[half:]) ** 2).sum(1), counts, wanted)
-                parts = [(c, p) for c in cells for p in range(-(-int(flat[c]) // CHUNK))]
-                yield pd.DataFrame({
-                    "query_id": query, "cell": [c for c, _ in parts], "part": [p for _, p in parts], "query": [vector] * len(parts),
-                })
+                looks: dict[int, list[int]] = {}
+                for c in traverse(((books[0] - x[:half]) ** 2).sum(1), ((books[1] - x[half:]) ** 2).sum(1), counts, wanted):
+                    for p in range(-(-int(flat[c]) // CHUNK)):
+                        looks.setdefault(shard_of(c, p, shards), []).append(c)
+                yield pd.DataFrame({"query_id": query, "shard": list(looks), "cells": list(looks.values()), "query": [vector] * len(looks)})
 
     return run
 
 
 def _rerank(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def run(queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(entries) and len(queries):
             x = np.stack(entries["vector"].to_numpy()).astype(float)
             size = np.array([len(i) for i in entries["ids"]])
-            ids = np.concatenate(entries["ids"].to_numpy())
-            for query, vector in zip(queries["query_id"], queries["query"], strict=True):
-                score = np.repeat(np.sqrt(((x - np.asarray(vector, dtype=float)) ** 2).sum(1)), size)
-                own = ids != query
-                i, s = ids[own], score[own]
+            all_ids = np.concatenate(entries["ids"].to_numpy())
+            all_cells, owner = entries["cell"].to_numpy(), np.repeat(np.arange(len(size)), size)
+            for query, cells, vector in zip(queries["query_id"], queries["cells"], queries["query"], strict=True):
+                seen = np.isin(all_cells, cells)
+                score = np.full(len(x), np.inf)
+                score[seen] = np.sqrt(((x[seen] - np.asarray(vector, dtype=float)) ** 2).sum(1))
+                fits = seen[owner] & (all_ids != query)
+                i, s = all_ids[fits], score[owner[fits]]
                 if len(i) > k:  # all that tie with the k-th stay until the ids decide
                     near = s <= np.partition(s, k - 1)[k - 1]
                     i, s = i[near], s[near]
                 best = np.lexsort((i, s))[:k]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": i[best], "score": s[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                out.append((np.full(len(best), query), i[best], s[best]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 3
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
     return run
 
@@ -170,12 +182,17 @@ def neighbours(vectors: DataFrame, step: int = QUERY_STEP, k: int = NEIGHBOURS,
     counts = np.zeros(size * size, dtype=np.int64)
     for r in indexed.groupBy("cell").agg(F.count("*").alias("n")).collect():
         counts[r["cell"]] = r["n"]
-    sizes = spark.createDataFrame([(c, -(-int(n) // CHUNK)) for c, n in enumerate(counts.tolist()) if n], "cell long, parts long")
-    dealt = indexed.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("vector"), F.col("parts")))
-    wanted = max(k + 1, math.ceil(share * total))
+    parts = F.ceil(F.get(F.lit(counts.tolist()), F.col("cell").cast("int")) / CHUNK)
+    shards = max(8, total // CHUNK)
+    dealt = indexed.withColumn("part", F.pmod(F.xxhash64("vector"), parts)).withColumn("shard", shard_of(F.col("cell"), F.col("part"), shards).cast("int"))
+    wanted = max(k + 1, LEAST, math.ceil(share * total))
     asked = rows.where(F.col("vec_id") % step == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vector").alias("vector"))
-    routed = asked.mapInPandas(_route(books, counts.reshape(size, size), wanted), f"query_id long, cell long, part long, query {kind}")
-    found = routed.groupBy("cell", "part").cogroup(dealt.groupBy("cell", "part")).applyInPandas(_rerank(k), "query_id long, vec_id long, score double")
+    routed = asked.mapInPandas(
+        _route(books, counts.reshape(size, size), wanted, shards), f"query_id long, shard int, cells array<long>, query {kind}"
+    )
+    found = routed.groupBy("shard").cogroup(dealt.select("shard", "cell", "vector", "ids").groupBy("shard")).applyInPandas(
+        _rerank(k), "query_id long, vec_id long, score double"
+    )
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
