@@ -1,18 +1,55 @@
-"""The corpus pipeline: stages applied to `documents` in order, each written as Parquet before the next reads it."""
+"""The corpus pipeline: stages applied to `documents` in order, each written as Parquet before the next reads it.
+
+Every stage but the last returns the columns of `documents`; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import packing
+from lectern.llm import decontamination, line_crf, ngram_join, packing, pii
 from lectern.session import cut_lineage
 
+#: The key of the registered pipeline only; in use, give a secret of your own.
+PII_KEY = "registered query"
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line classifier does not reject. It is fitted on this stage's own input and the labels."""
+    model = line_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return line_crf.score(docs, model).where("predicted = 1").select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-equal texts."""
+    return ngram_join.representatives(docs).select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
+def replace_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates for personal data and `n_chars` of the new text."""
+    done = pii.pseudonymise(docs.select(*COLUMNS), PII_KEY)
+    return done.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their place in a sequence."""
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack_sequences)]
+STAGES = [
+    ("quality classifier", classify_quality),
+    ("near copies", drop_near_copies),
+    ("benchmark decontamination", decontaminate),
+    ("private data", replace_private_data),
+    ("packing", pack_sequences),
+]
 
 #: SQL cannot express the classifier, the surrogates or the tokenizer; tests compare the stages with brute force.
 ORACLE_SQL = None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import chat_repair, decontamination, html_text, line_crf, multi_index, ngram_join, packing, pii, token_counts
+from lectern.llm import chat_repair, decontamination, html_text, line_crf, multi_index, ngram_join, packing, pii, repeats, token_counts
 
 
 #: The key of the registered query only; in use, give a secret of your own.
@@ -57,8 +57,13 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"))
 
 
+def op10_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents"))
+
+
 QUERIES = (
     op1_ngram_jaccard_join, op2_chat_role_repair, op3_inverted_multi_index, op4_contaminated_documents, op5_html_main_text, op6_harmonic_packing, op7_surrogates, op8_line_quality, op9_token_counts,
+    op10_repeated_strings,
 )
 
 
