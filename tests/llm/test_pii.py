@@ -1,0 +1,60 @@
+"""Surrogates: found, of the same format, distinct, and the same for the same entity."""
+
+import ipaddress
+import re
+
+from lectern.llm import pii
+from lectern.llm.pii import collisions, entities, luhn, pseudonymise
+
+KEY = b"k"
+TEXT = (
+    "Mail anna.b_7@mail3.example.com or +1 (017) 555-7713, from 129.38.82.176 with card 4111 1111 1111 1111 and 4845168114407329; "
+    'token = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8", SSN 123-45-6789, IBAN DE89 3704 0044 0532 0130 00. '
+    "Mary Smith met Mr. Smith, Herr Müller and Анна Петрова."
+)
+CLEAN = "The meeting on 2024-01-02 at 12:30 had 1,234,567 items, v1.2.3, 50% of $20.00 for the team. Mary had a lamb; Herr der Ringe."
+
+
+def test_all_kinds_with_their_format():
+    found = entities(TEXT, KEY)
+    by = {TEXT[a:b]: (k, s) for a, b, k, s in found}
+    assert {k for k, _ in by.values()} == {"email", "phone", "ip", "card", "secret", "ssn", "iban", "person"}
+    shape = lambda s: re.sub(r"[a-zа-яäöü]", "a", re.sub(r"[A-ZА-ЯÄÖÜ]", "A", re.sub(r"\d", "9", s)))
+    for old, (kind, new) in by.items():
+        assert new != old
+        if kind in ("phone", "card", "ssn"):
+            assert shape(new) == shape(old)
+    assert luhn(re.sub(" ", "", by["4111 1111 1111 1111"][1])) and by["+1 (017) 555-7713"][1].startswith("+1 (")
+    assert luhn(by["4845168114407329"][1]) == luhn("4845168114407329")
+    assert pii._iban_check(by["DE89 3704 0044 0532 0130 00"][1].replace(" ", "")) == 1
+    assert ipaddress.IPv4Address(by["129.38.82.176"][1]).is_global
+    assert by["anna.b_7@mail3.example.com"][1].endswith(".example.com")
+    assert by["Mary"][1] in pii.GIVEN["f"] and by["Анна"][1] in pii.GIVEN["f-cyrillic"] and re.fullmatch("[А-Я][а-я]+", by["Петрова"][1])
+    assert len({s for a, b, _, s in found if TEXT[a:b] == "Smith"}) == 1
+
+
+def test_permutations_keep_values_apart():
+    for kind, old in (("ip", [f"10.0.0.{i}" for i in range(256)]), ("ssn", [f"{i:03d}-00-0000" for i in range(1000)]), ("email", [f"a{i}@b.org" for i in range(500)])):
+        assert len({pii.REPLACE[kind](KEY, x) for x in old}) == len(old)
+    assert len({pii.surname(KEY, a + b) for a in ("Sm", "Br", "T") for b in ("ith", "own", "eller", "alt")}) == 12
+    assert len({pii.given_name(KEY, n) for n in pii.POOL_OF}) == len(pii.POOL_OF)
+    assert all(pii._permuted(KEY, "x", a, ("01",)) != pii._permuted(KEY, "x", b, ("01",)) for a in ("00", "01") for b in ("10", "11"))
+
+
+def test_clean_text_stays():
+    assert entities(CLEAN, KEY) == []
+
+
+def test_tables(spark):
+    rows = [(1, TEXT, "en", 3), (1, TEXT, "en", 3), (2, CLEAN, None, None), (3, None, "x", 1), (4, "", "x", 1), (None, "x@y.org " * 2000, "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_entities int")
+    out = pseudonymise(df, "k")
+    assert out.columns == ["doc_id", "text", "lang", "n_entities", "kinds"]
+    got = out.collect()
+    assert got[0] == got[1] and got[2].text == CLEAN and got[3].text is None and got[4].text == ""
+    assert got[5].n_entities == 2000 and "x@y.org" not in got[5].text and len(got[5].text) == 16000
+    assert collisions(df, "k").count() == 0 and pseudonymise(df.limit(0), "k").count() == 0
+
+
+def test_corpus_has_no_collisions(spark):
+    assert collisions(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "k").count() == 0
