@@ -10,8 +10,11 @@ from pyspark.sql import types as T
 
 DAY_SECONDS = 86400
 
-# Tried in this order; month first, where day and month are ambiguous.
+# Tried in this order after ISO 8601; month first, where day and month are ambiguous.
 TIMESTAMP_FORMATS = (
+    "yyyy/MM/dd HH:mm:ss",
+    "yyyy/MM/dd HH:mm",
+    "yyyy/MM/dd",
     "yyyy-MM-dd HH:mm:ss",
     "yyyy-MM-dd'T'HH:mm:ss",
     "yyyy-MM-dd",
@@ -61,6 +64,15 @@ def number(c: str | Column, default: float | None = None) -> Column:
     return value if default is None else F.coalesce(value, F.lit(default))
 
 
+WHOLE = r"^[+-]?\d+$"
+
+
+def whole_number(c: str | Column) -> Column:
+    """The text as a 64 bit whole number; null if it has a fraction, an exponent or more digits than fit."""
+    text = F.trim(_col(c).cast("string"))
+    return F.when(text.rlike(WHOLE), text.try_cast("bigint"))
+
+
 def numeric(df: DataFrame, name: str, default: float | None = None) -> Column:
     """`number` for a column that may already be numeric."""
     if isinstance(df.schema[name].dataType, T.NumericType):
@@ -71,9 +83,10 @@ def numeric(df: DataFrame, name: str, default: float | None = None) -> Column:
 
 
 def timestamp(c: str | Column, formats: Iterable[str] = TIMESTAMP_FORMATS) -> Column:
-    """Timestamp coercion over an ordered list of formats; failures become null."""
+    """Timestamp coercion: ISO 8601 with optional fraction and offset, then an ordered list of formats; failures become null."""
     text = F.trim(_col(c).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    iso = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("timestamp"))
+    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in formats])
 
 
 def as_timestamp(df: DataFrame, name: str) -> Column:

@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.functions.exprs import TIMESTAMP_FORMATS, clip, number, q, timestamp
+from lectern.functions.exprs import TIMESTAMP_FORMATS, clip, number, q, timestamp, whole_number
 from lectern.functions.ordering import exact_quantiles_of
+from lectern.session import cut_lineage
+from lectern.sources.readers import ROW_ID, PROVENANCE
 
 # Name parts that mark a timestamp column of a student source.
 TIMESTAMP_NAMES = re.compile(
@@ -46,6 +48,7 @@ class Profile:
     rows: int
     present: dict[str, int] = field(default_factory=dict)
     parsed: dict[str, int] = field(default_factory=dict)
+    whole: dict[str, int] = field(default_factory=dict)
 
     def null_share(self, c: str) -> float:
         return 0.0 if self.rows == 0 else 1 - self.present[c] / self.rows
@@ -60,7 +63,13 @@ def _is_number(df: DataFrame, c: str) -> bool:
 
 
 def _data_columns(df: DataFrame, order_by: Sequence[str]) -> list[str]:
-    return [c for c in df.columns if c not in order_by and not c.startswith("_")]
+    """All columns but the ordering and those the readers add."""
+    return [c for c in df.columns if c not in order_by and c not in PROVENANCE]
+
+
+def _ordering(df: DataFrame, order_by: Sequence[str]) -> tuple[str, ...]:
+    """The given ordering, or the readers' row number where the frame has one."""
+    return tuple(order_by) or ((ROW_ID,) if ROW_ID in df.columns else ())
 
 
 def _present(df: DataFrame, c: str) -> Column:
@@ -77,11 +86,13 @@ def profile(df: DataFrame, columns: Sequence[str]) -> Profile:
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.count_if(_present(df, c)).alias(f"p{i}") for i, c in enumerate(columns)]
     aggs += [F.count(number(q(c))).alias(f"x{i}") for i, c in enumerate(text)]
+    aggs += [F.count(whole_number(q(c))).alias(f"w{i}") for i, c in enumerate(text)]
     row = df.agg(*aggs).first()
     return Profile(
         row["n"],
         {c: row[f"p{i}"] for i, c in enumerate(columns)},
         {c: row[f"x{i}"] for i, c in enumerate(text)},
+        {c: row[f"w{i}"] for i, c in enumerate(text)},
     )
 
 
@@ -106,12 +117,16 @@ def drop_sparse_columns(
 def infer_numbers(
     df: DataFrame, share: float = 0.5, order_by: Sequence[str] = (), known: Profile | None = None
 ) -> DataFrame:
-    """Cast text columns to numbers where more than `share` of the non-null values parse."""
+    """Cast text columns to numbers where more than `share` of the non-null values parse.
+
+    If all that parse are whole and fit 64 bits they become whole numbers, so that ids keep their digits; else doubles.
+    """
     columns = [c for c in _data_columns(df, order_by) if _is_text(df, c)]
     known = known or profile(df, columns)
     # a column without values counts as numeric in neither order
     chosen = [c for c in columns if known.parsed[c] > share * known.present[c]]
-    return df.withColumns({c: number(q(c)) for c in chosen}) if chosen else df
+    cast = {c: (whole_number if known.whole[c] == known.parsed[c] else number)(q(c)) for c in chosen}
+    return df.withColumns(cast) if chosen else df
 
 
 def remove_duplicates(
@@ -122,6 +137,7 @@ def remove_duplicates(
     One aggregation with map-side merging, so a value that fills a third of the table costs
     one row per task. Nulls are equal to each other.
     """
+    order_by = _ordering(df, order_by)
     keys = list(subset) if subset else _data_columns(df, order_by)
     if keep not in ("first", "last", "false"):
         raise ValueError(f"unknown keep: {keep}")
@@ -174,8 +190,9 @@ def fill_missing(
     order_by: Sequence[str] = (),
     sequential: bool = True,
     text_only: bool = False,
+    known: Profile | None = None,
 ) -> DataFrame:
-    """Impute or drop missing values.
+    """Impute or drop missing values; columns without any stay as they are.
 
     With `sequential`, columns are treated from left to right, and a row dropped for one
     column no longer counts in the statistics of the columns after it.
@@ -183,6 +200,8 @@ def fill_missing(
     if numeric not in ("mean", "median", "zero", "drop") or categorical not in ("mode", "unknown", "drop"):
         raise ValueError(f"unknown strategy: {numeric}, {categorical}")
     columns = _data_columns(df, order_by)
+    known = known or profile(df, columns)
+    columns = [c for c in columns if known.present[c] < known.rows]
     numbers = [c for c in columns if _is_number(df, c)]
     others = [c for c in columns if c not in numbers and (not text_only or _is_text(df, c))]
     todo = [c for c in columns if c in numbers or c in others] if sequential else numbers + others
@@ -258,30 +277,27 @@ def clip_percentages(df: DataFrame) -> DataFrame:
 
 def clean_export(df: DataFrame, options: CleanOptions = CleanOptions()) -> DataFrame:
     """Sparse columns, types, duplicates, missing values, timestamps, percentages: in this order."""
-    columns = _data_columns(df, options.order_by)
-    known = profile(df, columns)
-    out = drop_sparse_columns(df, options.missing_threshold, options.order_by, known)
-    out = infer_numbers(out, options.numeric_share, options.order_by, known)
-    out = remove_duplicates(out, options.keep, options.subset, options.order_by)
-    out = fill_missing(
-        out, options.numeric, options.categorical, options.unknown, options.order_by, options.sequential
-    )
+    order_by = _ordering(df, options.order_by)
+    known = profile(df, _data_columns(df, order_by))
+    out = drop_sparse_columns(df, options.missing_threshold, order_by, known)
+    out = infer_numbers(out, options.numeric_share, order_by, known)
+    # written once: the profile, the statistics and the result all read the table without its copies
+    out = cut_lineage(remove_duplicates(out, options.keep, options.subset, order_by))
+    out = fill_missing(out, options.numeric, options.categorical, options.unknown, order_by, options.sequential)
     out = normalise_timestamps(out, named_timestamp_columns(out), options.formats)
     return clip_percentages(out)
 
 
 def clean_student_source(df: DataFrame, options: CleanOptions = STUDENT_OPTIONS) -> DataFrame:
     """Types, duplicates, sparse columns, missing values, timestamps: in this order."""
-    columns = _data_columns(df, options.order_by)
-    out = infer_numbers(df, options.numeric_share, options.order_by, profile(df, columns))
-    out = remove_duplicates(out, options.keep, options.subset, options.order_by)
-    out = drop_sparse_columns(out, options.missing_threshold, options.order_by)
+    order_by = _ordering(df, options.order_by)
+    out = infer_numbers(df, options.numeric_share, order_by, profile(df, _data_columns(df, order_by)))
+    out = cut_lineage(remove_duplicates(out, options.keep, options.subset, order_by))
+    out = drop_sparse_columns(out, options.missing_threshold, order_by)
     out = fill_missing(
-        out, options.numeric, options.categorical, options.unknown, options.order_by, options.sequential, text_only=True
-    )
-    return normalise_timestamps(
-        out, detected_timestamp_columns(out, options.formats, options.order_by), options.formats
+        out, options.numeric, options.categorical, options.unknown, order_by, options.sequential, text_only=True
     )
+    return normalise_timestamps(out, detected_timestamp_columns(out, options.formats, order_by), options.formats)
 
 
 def _missing_cells(df: DataFrame, columns: Sequence[str]) -> Column:

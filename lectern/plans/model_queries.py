@@ -112,7 +112,7 @@ def _cleaning(r: Registry) -> None:
         lambda t: cleaning.clean_export(_dirty(t), opts).withColumnRenamed(ROW_ID, "rid"),
         with_tables(
             "dirty",
-            f"""SELECT rid, CAST(customer AS DOUBLE) AS customer, coalesce(priority, mp) AS priority,
+            f"""SELECT rid, CAST(customer AS BIGINT) AS customer, coalesce(priority, mp) AS priority,
                 {rnd('coalesce(amount, m1)')} AS amount, {rnd('coalesce(a, m2)')} AS amount_text,
                 {TIMES} AS order_date, {rnd('least(greatest(share_pct, 0), 100)')} AS share_pct FROM dd, med, modes""",
             dd=DEDUP,
@@ -124,7 +124,7 @@ def _cleaning(r: Registry) -> None:
         lambda t: cleaning.clean_student_source(_dirty(t), student).withColumnRenamed(ROW_ID, "rid"),
         with_tables(
             "dirty",
-            f"""SELECT rid, CAST(customer AS DOUBLE) AS customer, coalesce(priority, mp) AS priority,
+            f"""SELECT rid, CAST(customer AS BIGINT) AS customer, coalesce(priority, mp) AS priority,
                 {rnd('coalesce(amount, m1)')} AS amount, {rnd('coalesce(a, m2)')} AS amount_text,
                 {TIMES} AS order_date, {rnd('share_pct')} AS share_pct FROM dd, med, modes""",
             dd=DEDUP,
@@ -154,7 +154,7 @@ def _cleaning(r: Registry) -> None:
         ),
         with_tables(
             "dirty",
-            """SELECT rid, CAST(customer AS DOUBLE) AS customer, TRY_CAST(amount_text AS DOUBLE) AS amount_text, priority
+            """SELECT rid, CAST(customer AS BIGINT) AS customer, TRY_CAST(amount_text AS DOUBLE) AS amount_text, priority
             FROM dirty""",
         ),
     )

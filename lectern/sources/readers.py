@@ -8,18 +8,26 @@ from __future__ import annotations
 
 import fnmatch
 from collections.abc import Iterable
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.exprs import q
 from lectern.functions.fixed import (
     EXPORT_FILE_WORDS,
     EXPORT_HEADERS,
     EXPORT_REQUIRED,
     STUDENT_REQUIRED,
 )
+from lectern.session import cut_lineage
 
 ROW_ID = "_row_id"
+#: Columns that the readers add; no other column is treated in a special way.
+PROVENANCE = (ROW_ID, "_source_file", "_source_type")
+CORRUPT = "_corrupt"
+#: Bits of a row number for the file and for the place in it.
+FILE_BITS, PLACE_BITS = 18, 45
 
 
 def list_files(spark: SparkSession, folder: str) -> list[str]:
@@ -43,25 +51,83 @@ def _base(file: str) -> str:
 
 
 def read_csv(spark: SparkSession, file: str | list[str], encoding: str = "utf-8", multiline: bool = False) -> DataFrame:
-    """CSV as text columns; empty fields are null."""
+    """CSV as text columns; empty fields are null. A file whose header differs from the first one's is an error, not a swap."""
     return (
         spark.read.option("header", True)
         .option("encoding", encoding)
         .option("multiLine", multiline)
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
+        .option("enforceSchema", False)
         .csv(file)
     )
 
 
-def detect_encoding(spark: SparkSession, file: str) -> str:
-    """utf-8, or latin-1 if any line does not decode as utf-8; searched by the executors."""
-    bad = spark.read.text(file).where(~F.is_valid_utf8("value")).limit(1)
-    return "ISO-8859-1" if bad.count() else "utf-8"
+def inspect_csv(spark: SparkSession, file: str) -> list[Row]:
+    """One row per file, from one pass: path, header line, lines that are not utf-8, lines with an odd number of quotes."""
+    lines = spark.read.text(file).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    return (
+        lines.groupBy("file_path").agg(
+            F.min_by("value", F.struct("file_block_start", "at")).alias("header"),
+            F.count_if(~F.is_valid_utf8("value")).alias("not_utf8"),
+                F.count_if((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1).alias("odd_quotes"),
+        ).orderBy("file_path").collect()
+    )
+
+
+def _read_parts(spark: SparkSession, file: str, multiline: bool | None) -> tuple[DataFrame | None, dict[str, int]]:
+    """All part files as text columns with the corrupt record, `_path`, `_start`, `_at`, and the number of each path in order."""
+    parts = inspect_csv(spark, file)
+    encoding = "ISO-8859-1" if any(p["not_utf8"] for p in parts) else "utf-8"
+    multiline = any(p["odd_quotes"] for p in parts) if multiline is None else multiline
+    headers: dict[str, list[str]] = {}
+    for p in parts:
+        headers.setdefault(p["header"].lstrip("\ufeff").rstrip("\r"), []).append(unquote(p["file_path"]))
+    out = None
+    for paths in headers.values():
+        schema = read_csv(spark, paths, encoding, multiline).schema.add(CORRUPT, "string")
+        df = (
+            spark.read.schema(schema).option("header", True).option("encoding", encoding).option("multiLine", multiline)
+            .option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(paths)
+        )
+        df = df.select(
+            "*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_at"),
+        )
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out, {p["file_path"]: i for i, p in enumerate(parts)}
+
 
+def read_csv_any_encoding(spark: SparkSession, file: str, multiline: bool | None = None) -> DataFrame:
+    """A file or a folder of part files, with `_row_id` in the order of files and of their lines.
 
-def read_csv_any_encoding(spark: SparkSession, file: str, multiline: bool = False) -> DataFrame:
-    return read_csv(spark, file, detect_encoding(spark, file), multiline)
+    The encoding is utf-8, or latin-1 if any line does not decode. With `multiline` None, records over several lines are expected
+    if a line has an odd number of quotes; such files are read by one task each. Part files with the same header are
+    read together, and the groups joined by column name. See `malformed_records` for records with too few or too many fields.
+    """
+    out, number = _read_parts(spark, file, multiline)
+    if out is None:
+        return read_csv(spark, file).withColumn(ROW_ID, F.lit(None).cast("long"))
+    if len(number) >= 1 << FILE_BITS:
+        raise ValueError(f"more than {1 << FILE_BITS} files in {file}")
+    files = spark.createDataFrame(list(number.items()), "_path string, _file long")
+    # A task reads one block, or several small files, and never more rows than a block has bytes: twice the block's
+    # start leaves room for its rows.
+    place = F.col("_start") * 2 + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    names = [c for c in out.columns if c not in (CORRUPT, "_path", "_start", "_at")]
+    numbered = out.join(F.broadcast(files), "_path")  # one row per file
+    return numbered.select(*[F.col(q(c)) for c in names], (F.shiftleft("_file", PLACE_BITS) + place).alias(ROW_ID))
+
+
+def malformed_records(spark: SparkSession, file: str, multiline: bool | None = None) -> DataFrame:
+    """`file` and `record` of every record that has too few or too many fields; readers keep such records, with nulls for what is missing."""
+    out, _ = _read_parts(spark, file, multiline)
+    if out is None:
+        return spark.createDataFrame([], "file string, record string")
+    # written first: the parser counts the fields only where all columns are read
+    return cut_lineage(out.withColumnsRenamed({c: f"c{i}" for i, c in enumerate(out.columns) if not c.startswith("_")})).where(F.col(CORRUPT).isNotNull()).select(
+        F.element_at(F.split("_path", "/"), -1).alias("file"), F.col(CORRUPT).alias("record")
+    )
 
 
 def rename_existing(df: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -97,31 +163,30 @@ def with_provenance(df: DataFrame, file: str, source_type: str | None) -> DataFr
     """Add the row order, file and kind that later steps may need."""
     return df.select(
         "*",
-        F.monotonically_increasing_id().alias(ROW_ID),
         F.lit(_base(file)).alias("_source_file"),
         F.lit(source_type).alias("_source_type"),
     )
 
 
-def _open(spark: SparkSession, file: str) -> DataFrame:
+def _open(spark: SparkSession, file: str, multiline: bool | None = None) -> DataFrame:
     if not exists(spark, file):
         raise FileNotFoundError(f"File not found: {file}")
     name = _base(file).lower()
     if not name.endswith(".csv"):
         raise ValueError(f"Unsupported format: {name[name.rfind('.'):] if '.' in name else name}")
-    return read_csv_any_encoding(spark, file)
+    return read_csv_any_encoding(spark, file, multiline)
 
 
-def read_export(spark: SparkSession, file: str, kind: str) -> DataFrame:
+def read_export(spark: SparkSession, file: str, kind: str, multiline: bool | None = None) -> DataFrame:
     """One course, program, specialization or video export, with internal headers."""
-    df = _open(spark, file)
+    df = _open(spark, file, multiline)
     df = normalise_headers(df, kind)
     check_export(df, kind, _base(file))
     return with_provenance(df, file, kind)
 
 
-def read_student_source(spark: SparkSession, file: str, source: str | None = None) -> DataFrame:
-    df = _open(spark, file)
+def read_student_source(spark: SparkSession, file: str, source: str | None = None, multiline: bool | None = None) -> DataFrame:
+    df = _open(spark, file, multiline)
     if source:
         check_student_source(df, source)
     return with_provenance(df, file, source)
@@ -176,7 +241,7 @@ def load_log(frames: dict[str, DataFrame]) -> DataFrame:
     """File, kind, rows and columns of every frame that was read."""
     out = None
     for kind, df in frames.items():
-        data_columns = [c for c in df.columns if c not in (ROW_ID, "_source_file", "_source_type")]
+        data_columns = [c for c in df.columns if c not in PROVENANCE]
         part = (
             df.groupBy(F.col("_source_file").alias("file"))
             .agg(F.count(F.lit(1)).alias("rows"))
@@ -190,4 +255,4 @@ def load_log(frames: dict[str, DataFrame]) -> DataFrame:
 
 def read_id_map(spark: SparkSession, file: str) -> DataFrame:
     """Student id map: the canonical id and one id column per source."""
-    return read_csv(spark, file)
+    return read_csv_any_encoding(spark, file).drop(ROW_ID)

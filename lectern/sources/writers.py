@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 from lectern.functions.exprs import q
 
 
+#: To the microsecond, as `exprs.timestamp` reads them back.
+TIMESTAMPS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
 def flat(df: DataFrame) -> DataFrame:
     """Nested columns as JSON text, for formats that only hold plain values."""
     nested = (T.ArrayType, T.MapType, T.StructType)
@@ -29,7 +33,7 @@ def export_table(df: DataFrame, folder: str, name: str, fmt: str = "csv", stamp:
     suffix = f"_{stamp:%Y%m%d_%H%M%S}" if stamp else ""
     path = f"{folder.rstrip('/')}/{name}{suffix}"
     if fmt == "csv":
-        flat(df).write.mode("error").option("header", True).option("escape", '"').csv(path)
+        flat(df).write.mode("error").option("header", True).option("escape", '"').option("timestampFormat", TIMESTAMPS).csv(path)
     else:
         df.write.mode("error").parquet(path)
     return path

@@ -84,3 +84,9 @@ def test_rounding_bins_and_days(spark):
     assert spark.range(1).select(rounded(F.lit(12.25), 1), rounded(F.lit(2.5), 0)).first()[:] == (12.2, 2.0)
     days = spark.sql("SELECT timestamp'2024-01-02 12:00:00' a, timestamp'2024-01-01 13:00:00' b")
     assert days.select(whole_days("a", "b"), whole_days("b", "a")).first()[:] == (0, -1)
+
+
+def test_timestamp_forms(spark):
+    texts = {"2024-01-02T03:04:05.250Z": "03:04:05.25", "2024-01-02 03:04:05+02:00": "01:04:05", "2024/01/02 03:04:05": "03:04:05", "2024/01/02": "00:00:00", "2024": None, "x": None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", timestamp("t").cast("string").alias("v"))
+    assert {r.t: r.v for r in df.collect()} == {t: v and f"2024-01-02 {v}" for t, v in texts.items()}
