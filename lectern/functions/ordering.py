@@ -21,9 +21,22 @@ from lectern.functions.exprs import q
 from lectern.session import bucket_count
 
 
-def _bounds(value: Column, buckets: int) -> Column:
-    marks = [i / buckets for i in range(1, buckets)]
-    return F.percentile_approx(value, marks, max(10_000, 100 * buckets))
+#: Groups of input splits whose marks are merged before all marks meet.
+MERGERS = 256
+
+
+def _bounds(df: DataFrame, values: Sequence[Column], buckets: int) -> DataFrame:
+    """One row of marks per value (`_b0`, `_b1`, ..), coarse, and merged in two levels.
+
+    Bounds never change a result, only how evenly the work is cut. No task gets a sketch of every input split: MERGERS tasks
+    merge those of their splits, and the last one sees their marks only.
+    """
+    marks = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    sketch = lambda c: F.percentile_approx(c, marks, 20 * buckets)
+    named = df.select(*[v.alias(f"_v{i}") for i, v in enumerate(values)], (F.spark_partition_id() % MERGERS).alias("_m"))
+    first = named.groupBy("_m").agg(*[sketch(F.col(f"_v{i}")).alias(f"_b{i}") for i in range(len(values))])
+    zipped = F.arrays_zip(*[F.coalesce(f"_b{i}", F.array()).alias(f"_b{i}") for i in range(len(values))])
+    return first.select(F.inline(zipped)).agg(*[sketch(F.col(f"_b{i}")).alias(f"_b{i}") for i in range(len(values))])
 
 
 def _coarse(bounds: str, buckets: int) -> Column:
@@ -68,7 +81,7 @@ def with_order_bucket(
         raise ValueError(f"ordering must start with a numeric or time column: {list(order_by)}")
     n = bucket_count(df.sparkSession)
     sampled = leaves if seen is None else [F.when(seen, leaf) for leaf in leaves]
-    stats = df.agg(*[_bounds(leaf, n).alias(f"_b{i}") for i, leaf in enumerate(sampled)])
+    stats = _bounds(df, sampled, n)
     stats = stats.select("*", *[_coarse(f"_b{i}", n).alias(f"_c{i}") for i in range(len(leaves))])
     # one row, a fixed number of array elements
     wide = df.crossJoin(F.broadcast(stats))
@@ -89,7 +102,7 @@ def with_value_bucket(df: DataFrame, value: str, out: str, alone: str) -> DataFr
     """
     n = bucket_count(df.sparkSession)
     v = F.col(q(value)).cast("double")
-    stats = df.agg(_bounds(v, n).alias("_b0")).select("_b0", _coarse("_b0", n).alias("_c0"))
+    stats = _bounds(df, [v], n).select("_b0", _coarse("_b0", n).alias("_c0"))
     wide = df.crossJoin(F.broadcast(stats))  # one row, a fixed number of array elements
     first = _bucket(v, "_b0", "_c0", n)
     wide = wide.withColumn(alone, F.coalesce(F.get(F.col("_b0"), first) == v, F.lit(False)))

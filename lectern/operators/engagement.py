@@ -11,6 +11,7 @@ from lectern.functions.exprs import as_timestamp, clip, rounded, total, whole_da
 from lectern.functions.fixed import ENGAGEMENT_WEIGHTS
 from lectern.functions.ordering import exact_quantiles
 from lectern.operators.learners import moment
+from lectern.session import cut_lineage
 
 CATEGORIES = ["High", "Medium", "Low", "At-Risk"]
 
@@ -35,9 +36,9 @@ def progress_component(activity: DataFrame) -> DataFrame:
 
 
 def hours_component(activity: DataFrame) -> DataFrame:
-    hours = (
+    hours = cut_lineage(
         activity.where(F.col("email").isNotNull()).groupBy("email").agg(total("learning_hours").alias("total_hours"))
-    ).persist()
+    )
     return _scaled_hours(hours).select("email", "total_hours", "hours_component")
 
 
@@ -49,11 +50,11 @@ def _scaled_hours(learners: DataFrame) -> DataFrame:
 
 
 def video_component(videos: DataFrame) -> DataFrame:
-    per = (
+    per = cut_lineage(
         videos.where(F.col("email").isNotNull())
         .groupBy("email")
         .agg(F.avg("completion_pct").alias("_completion"), total("watch_count").alias("total_watches"))
-    ).persist()
+    )
     watches = clip(F.col("total_watches") / F.col("_p95w") * 100, 0.0, 100.0)
     return per.crossJoin(F.broadcast(_p95(per, "total_watches", "_p95w"))).select(  # one row
         "email", rounded(F.col("_completion") * 0.6 + watches * 0.4, 2).alias("video_component")
@@ -87,7 +88,7 @@ def engagement_scores(
     w = weights or ENGAGEMENT_WEIGHTS
     has_time = "last_activity_ts" in activity.columns
     last = F.max(as_timestamp(activity, "last_activity_ts")) if has_time else F.lit(None).cast("timestamp")
-    learners = (
+    learners = cut_lineage(
         activity.where(F.col("email").isNotNull())
         .groupBy("email")
         .agg(
@@ -95,7 +96,7 @@ def engagement_scores(
             total("learning_hours").alias("total_hours"),
             last.alias("_last"),
         )
-    ).persist()
+    )
     recency = _recency(F.col("_last"), reference_date) if has_time else F.lit(50.0)
     parts = _scaled_hours(learners).select(
         "email", "progress_component", "hours_component", recency.alias("recency_component")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
 from datetime import datetime
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from lectern.functions.exprs import as_timestamp, clip, flag_sum, q, rounded, total, whole_days
 from lectern.functions.fixed import OUTCOME_COLUMNS, STUDENT_ENGAGEMENT_WEIGHTS
 from lectern.functions.ordering import ordered_window
+from lectern.session import cut_lineage
 from lectern.operators.learners import moment
 from lectern.operators.statistics import describe
 
@@ -19,6 +21,7 @@ FEATURE_COLUMNS = [
     "assessment_improvement", "dropout", "final_score",
 ]
 
+LOG = logging.getLogger(__name__)
 Feature = Callable[[DataFrame], Column]
 
 
@@ -137,16 +140,19 @@ def generate_features(
     weights: dict[str, float] | None = None,
     features: dict[str, Feature] | None = None,
 ) -> DataFrame:
-    """All features. The input is persisted: the windows and the scaling read it several times.
+    """All features. The input is written once: the windows and the scaling read it several times.
 
     Scaling comes before the window over scores, so that its minimum and maximum do not
     depend on that window.
     """
-    out = session_frequency(df.persist(), order_by)
+    out = session_frequency(cut_lineage(df), order_by)
     out = student_engagement(video_completion(out, threshold), weights)
     out = assessment_improvement(out, order_by, method)
     out = final_score(dropout_flag(out))
-    return custom_features(out, features or {})[0]
+    out, errors = custom_features(out, features or {})
+    for name, error in errors.items():
+        LOG.warning("custom feature %s is left out: %s", name, error)
+    return out
 
 
 def feature_summary(df: DataFrame, custom: Sequence[str] = ()) -> DataFrame:

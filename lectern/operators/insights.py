@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lectern.functions.exprs import flag_mean, right_closed_bins, rounded, total
 from lectern.functions.fixed import INSIGHT_TEXTS
 from lectern.operators.learners import moment
+from lectern.session import cut_lineage
 
 # Bins of the drop-off insight.
 ZONE_EDGES = [0, 10, 25, 50, 75, 100]
@@ -221,10 +222,11 @@ def all_insights(
     scores: DataFrame | None = None,
     videos: DataFrame | None = None,
     programs: DataFrame | None = None,
-    generated_at: datetime | str | None = None,
+    *,
+    generated_at: datetime | str,
 ) -> DataFrame:
     """Every insight, by severity and then in the order of the generators."""
-    cube, learners = activity_cube(activity).persist(), learner_cube(activity).persist()
+    cube, learners = cut_lineage(activity_cube(activity)), cut_lineage(learner_cube(activity))
     parts = [overall_completion(cube), course_extremes(cube)]
     if scores is not None:
         parts += [engagement_ratio(learners, scores), at_risk_share(scores)]
@@ -241,9 +243,8 @@ def all_insights(
     for i, part in enumerate(parts):
         tagged = part.withColumn("_order", F.lit(i))
         out = tagged if out is None else out.unionByName(tagged)
-    stamp = F.current_timestamp() if generated_at is None else moment(generated_at)
     ordered = out.orderBy(severity_rank(), "_order", "title")
-    return ordered.select(*COLUMNS, stamp.alias("generated_at"))
+    return ordered.select(*COLUMNS, moment(generated_at).alias("generated_at"))
 
 
 def by_severity(insights: DataFrame, severity: str) -> DataFrame:

@@ -33,6 +33,11 @@ from lectern.operators.features import model_inputs
 from lectern.session import cut_lineage
 
 SEED = 42
+#: Depth of a forest's trees if none is given; as deep as the engine allows.
+DEPTH = 30
+#: Classes of a target; more are refused, as the confusion matrix grows with their square.
+MAX_CLASSES = 100
+
 REGRESSION = ("linear", "ridge", "lasso", "random_forest", "gradient_boosting")
 CLASSIFICATION = ("logistic", "random_forest", "gradient_boosting", "svm")
 TASKS = {"logistic_regression": "logistic", "random_forest": "random_forest", "gradient_boosting": "gradient_boosting"}
@@ -52,6 +57,14 @@ def prepare(df: DataFrame, target: str, features: Sequence[str] | None, key: str
     return chosen.dropna(subset=[*columns, "label"]), columns
 
 
+def class_names(df: DataFrame, target: str) -> list:
+    """The distinct labels in order; a target with more than MAX_CLASSES of them is refused."""
+    found = [r[0] for r in df.select(F.col(q(target))).dropna().distinct().orderBy(F.col(q(target))).limit(MAX_CLASSES + 1).collect()]
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
+    return found
+
+
 def standardised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Zero mean and unit population deviation; a constant column stays at zero."""
     row = df.agg(
@@ -89,7 +102,7 @@ def with_folds(df: DataFrame, folds: int, seed: int = SEED) -> DataFrame:
     return df.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_key").cast("string")), F.lit(folds)))
 
 
-def regressor(kind: str, rows: int, spread: float = 1.0, trees: int = 100, depth: int = 10):
+def regressor(kind: str, rows: int, spread: float = 1.0, trees: int = 100, depth: int = DEPTH):
     """Estimator of a kind.
 
     Penalties of 1 refer to the sum of squares for ridge and to the mean for lasso. Spark
@@ -108,7 +121,7 @@ def regressor(kind: str, rows: int, spread: float = 1.0, trees: int = 100, depth
     raise ValueError(f"Unknown regression model: {kind}. Options: {list(REGRESSION)}")
 
 
-def classifier(kind: str, rows: int, classes: int = 2, trees: int = 100, depth: int = 10):
+def classifier(kind: str, rows: int, classes: int = 2, trees: int = 100, depth: int = DEPTH):
     if kind == "logistic":
         return LogisticRegression(regParam=1.0 / max(rows, 1), standardization=False, maxIter=1000)
     if kind == "random_forest":
@@ -198,6 +211,7 @@ def regression(
     test_size: float = 0.2,
     cv_folds: int = 5,
     trees: int = 100,
+    depth: int = DEPTH,
 ) -> dict[str, DataFrame]:
     """Fit on the training part; quality on the test part and over folds, importances, predictions."""
     data, columns = prepare(df, target, features, key)
@@ -206,7 +220,7 @@ def regression(
 
     def fit(part: DataFrame) -> Model:
         size = part.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s")).first()
-        return regressor(model_type, size["n"], size["s"] or 1.0, trees).fit(part)
+        return regressor(model_type, size["n"], size["s"] or 1.0, trees, depth).fit(part)
 
     model = fit(data.where(~F.col("_test")))
     tested = model.transform(data.where("_test")).persist()
@@ -237,9 +251,18 @@ def classification(
     test_size: float = 0.2,
     cv_folds: int = 5,
     trees: int = 100,
+    depth: int = DEPTH,
 ) -> dict[str, DataFrame]:
-    """Like `regression`, with a stratified split, a confusion matrix and class metrics."""
-    data, columns = prepare(df, target, features, key)
+    """Like `regression`, with a stratified split, a confusion matrix and class metrics.
+
+    Labels may be of any kind. They are numbered in their order, and shown as text again in `confusion` and `predictions`
+    where they are not whole numbers from 0 on; with two classes the second one is the positive one.
+    """
+    names = class_names(df, target)
+    columns = [c for c in (features or numeric_columns(df, {target, key})) if c in df.columns and c != target]
+    numbers = df.sparkSession.createDataFrame([(v, float(i)) for i, v in enumerate(names)], T.StructType([df.schema[target], T.StructField("_class", T.DoubleType())]))
+    df = df.join(F.broadcast(numbers), target).drop(target)  # at most MAX_CLASSES rows
+    data, columns = prepare(df, "_class", columns, key)
     data = _vectors(cut_lineage(data), columns, model_type)
     data = cut_lineage(with_folds(split(data, test_size, stratify=True), cv_folds))
     rows = data.agg(
@@ -248,7 +271,7 @@ def classification(
     ).first()
 
     def fit(part: DataFrame) -> Model:
-        return classifier(model_type, rows["train"], rows["classes"], trees).fit(part)
+        return classifier(model_type, part.count(), rows["classes"], trees, depth).fit(part)
 
     model = fit(data.where(~F.col("_test")))
     tested = model.transform(data.where("_test")).persist()
@@ -261,11 +284,13 @@ def classification(
         spark, model_type=model_type, target=target, **quality(_counts(tested)), cv_scores=folds,
         cv_mean=float(np.mean(folds)), train_size=rows["train"], test_size=rows["test"],
     )
+    plain = names == list(range(len(names)))
+    shown = lambda c: F.col(c) if plain else F.get(F.array(*[F.lit(str(v)) for v in names]), F.col(c).cast("int"))
     return {
         "metrics": metrics,
-        "confusion": confusion(tested),
+        "confusion": confusion(tested).withColumns({c: shown(c) for c in ("label", "prediction")}),
         "importances": importances(model, columns if model_type != "svm" else [], spark),
-        "predictions": tested.select(F.col("_key").alias(key), "label", "prediction"),
+        "predictions": tested.select(F.col("_key").alias(key), shown("label").alias("label"), shown("prediction").alias("prediction")),
     }
 
 
@@ -285,7 +310,8 @@ def high_performer_label(matrix: DataFrame, percentile: float = 75.0) -> DataFra
 
 
 def train_and_score(
-    labelled: DataFrame, task: str, model_type: str = "random_forest", test_size: float = 0.2, cv_folds: int = 5, trees: int = 100
+    labelled: DataFrame, task: str, model_type: str = "random_forest", test_size: float = 0.2, cv_folds: int = 5,
+    trees: int = 100, depth: int = DEPTH,
 ) -> dict[str, DataFrame]:
     """Fit a task on behaviour columns only, evaluate it, and score every learner.
 
@@ -307,10 +333,9 @@ def train_and_score(
     folds = min(cv_folds, max(2, min(per.values())))
     data = cut_lineage(with_folds(split(assembled(data, columns), test_size, stratify=True), folds))
     train = data.where(~F.col("_test"))
-    rows = sum(per.values()) - data.where("_test").count()
 
     def fit(part: DataFrame) -> Model:
-        return classifier(TASKS.get(model_type, "random_forest"), rows, 2, trees).fit(part)
+        return classifier(TASKS.get(model_type, "random_forest"), part.count(), 2, trees, depth).fit(part)
 
     model = fit(train)
     scored = model.transform(data).persist()
@@ -339,8 +364,8 @@ def train_and_score(
 
 
 def all_predictions(matrix: DataFrame, model_type: str = "random_forest", **options) -> dict[str, dict[str, DataFrame]]:
-    """Dropout, completion and high performers from one learner matrix, which is persisted."""
-    matrix = matrix.persist()
+    """Dropout, completion and high performers from one learner matrix, which is written first."""
+    matrix = cut_lineage(matrix)
     labels = {
         "dropout": dropout_label(matrix),
         "completion": completion_label(matrix),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions.exprs import clip, flag_sum, rounded
 from lectern.functions.fixed import COURSE_SKILLS, DEFAULT_SKILL, KEYWORD_SKILLS, SKILL_CATEGORIES
 from lectern.functions.ordering import ordered_window
+from lectern.session import cut_lineage
 
 
 def taxonomy(spark: SparkSession) -> DataFrame:
@@ -26,7 +27,8 @@ def skill_category(skill: str | Column) -> Column:
 
 def catalogue_skills(spark: SparkSession, mapping: dict[str, list[str]] | None = None) -> DataFrame:
     rows = [(c, s) for c, skills in (mapping or COURSE_SKILLS).items() for s in skills]
-    return spark.createDataFrame(rows, "course_id string, skill_name string")
+    # made from driver memory, so its size is fixed; without the hint the activity would be shuffled on a few course ids
+    return F.broadcast(spark.createDataFrame(rows, "course_id string, skill_name string"))
 
 
 def keyword_skills(activity: DataFrame) -> DataFrame:
@@ -157,8 +159,8 @@ def skill_timeline(
     )
     ordering = [c for c in order_by if c != "enrollment_ts"]
     # the window reads its input three times: keep the few columns it needs
-    slim = mine.select("email", "course_id", "enrollment_ts", *ordering, gained.alias("_gain")).persist()
-    rows = slim.join(skills, "course_id")
+    slim = mine.select("email", "course_id", "enrollment_ts", *ordering, gained.alias("_gain"))
+    rows = cut_lineage(slim.join(skills, "course_id"))
     best = ordered_window(rows, ["email", "skill_name"], ["enrollment_ts", *ordering], running_max={"_best": "_gain"})
     return best.select(
         "email",
@@ -177,7 +179,7 @@ def skill_summary(scores: DataFrame) -> DataFrame:
 
 
 def skill_metrics(activity: DataFrame, skills: DataFrame | None = None) -> dict[str, DataFrame]:
-    scores = skill_scores(activity, skills).persist()
+    scores = cut_lineage(skill_scores(activity, skills))
     return {
         "summary": skill_summary(scores),
         "skill_gaps": skill_gaps(scores).limit(10),

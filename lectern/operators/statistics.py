@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from lectern.functions.exprs import numeric_columns, q, rounded, significance_text
 from lectern.functions.ordering import exact_quantiles_of, prefix_counts, with_value_bucket
 from lectern.functions.pvalues import f_p_value, t_p_value
+from lectern.session import cut_lineage
 
 # Columns of the published summary table.
 SUMMARY_COLUMNS = ["count", "mean", "std", "min", "q25", "median", "q75", "max", "skew", "kurtosis"]
@@ -199,7 +200,7 @@ def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
     so frequent that it would exceed it has a bucket of its own, in which all pairs are tied.
     """
     joint = _joint(df, a, b)
-    cut = with_value_bucket(with_value_bucket(joint, "x", "_bx", "_ax"), "y", "_by", "_ay").persist()
+    cut = cut_lineage(with_value_bucket(with_value_bucket(cut_lineage(joint), "x", "_bx", "_ax"), "y", "_by", "_ay"))
     # table of cells: bounded by the square of the number of buckets
     cells = cut.groupBy("_bx", "_by").agg(F.sum("_cnt").alias("_cnt"))
     cross = cells.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_pair_signs("_bx", "_by"), _SIGNS)

@@ -22,6 +22,7 @@ from lectern.functions.exprs import (
 from lectern.functions.ordering import exact_quantiles, prefix_counts
 from lectern.operators.learners import moment
 from lectern.sources.readers import rename_existing
+from lectern.session import cut_lineage
 
 # Internal export header -> model column.
 COURSE_COLUMNS = {
@@ -121,7 +122,7 @@ def learners(courses: DataFrame, order_by: Sequence[str], reference_date: dateti
     if "Last Activity Timestamp" in courses.columns:
         aggs.append(F.max(as_timestamp(courses, "Last Activity Timestamp")).alias("last_activity"))
     # dropping duplicates keeps one row without an email, but no aggregate matches it
-    per = courses.where(F.col("Email").isNotNull()).groupBy(F.col("Email").alias("email")).agg(*aggs).persist()
+    per = cut_lineage(courses.where(F.col("Email").isNotNull()).groupBy(F.col("Email").alias("email")).agg(*aggs))
     spots = prefix_counts(per.select(F.col("_first"), F.lit(1).alias("_cnt")), "_first")
     numbered = per.join(spots.select("_first", (F.col("_before") + 1).alias("learner_id")), "_first")
     columns = ["learner_id", "email", *[F.col(f"_a.{clean_name(c)}") for c in attributes]]

@@ -308,11 +308,11 @@ def _charts(r: Registry) -> None:
     )
     r.add(
         "hst_1_hours_per_learner_histogram",
-        lambda t: charts.histogram(learners.learning_velocity(t.course_activity()), "total_weeks", 30),
+        lambda t: charts.histogram(learners.learning_velocity(t.course_activity()), "total_hours", 30),
         with_tables(
             "ca",
             _histogram_sql("w", "v", 30),
-            w=f"SELECT max(greatest({days('last_activity_ts', 'enrollment_ts')} / 7, 1.0)) AS v FROM ca GROUP BY email",
+            w="SELECT coalesce(sum(learning_hours), 0) AS v FROM ca GROUP BY email",
         ),
     )
     r.add(
@@ -325,7 +325,7 @@ def _charts(r: Registry) -> None:
         "pvt_1_cohort_pivot",
         lambda t: charts.cohort_pivot(
             t.course_activity(wide=True).withColumn("year", F.year("enrollment_ts")),
-            "business_unit", "year", "progress_pct", list(years),
+            "business_unit", "year", "progress_pct",
         ),
         with_tables(
             "caw",

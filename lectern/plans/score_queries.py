@@ -117,12 +117,12 @@ def _skills(r: Registry) -> None:
             FROM scores GROUP BY skill_name, skill_category)"""
     r.add(
         "skl_5_skill_gaps",
-        lambda t: skills.skill_gaps(skills.skill_scores(t.course_activity()).persist()),
+        lambda t: skills.skill_gaps(skills.skill_scores(t.course_activity())),
         with_tables("scores", gap),
     )
     r.add(
         "flt_4_target_skills",
-        lambda t: skills.skill_gaps(skills.skill_scores(t.course_activity()).persist(), TARGET_SKILLS),
+        lambda t: skills.skill_gaps(skills.skill_scores(t.course_activity()), TARGET_SKILLS),
         with_tables("scores", gap + f" WHERE skill_name IN ({', '.join(quoted(s) for s in TARGET_SKILLS)})"),
     )
     r.add(
@@ -328,7 +328,7 @@ def _insights(r: Registry) -> None:
 
     def everything(t: Tables):
         return insights.all_insights(
-            _unit_activity(t), t.engagement(), t.video_activity(), _finished_programs(t), REFERENCE_DATE
+            _unit_activity(t), t.engagement(), t.video_activity(), _finished_programs(t), generated_at=REFERENCE_DATE
         )
 
     union = " UNION ALL ".join(f"SELECT * FROM ({s})" for s in sql.values())

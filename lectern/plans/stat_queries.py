@@ -191,7 +191,7 @@ def _reports(r: Registry) -> None:
                 "t_test_engagement": statistics.t_test_first_two(t.course_activity(wide=True), "learning_hours", "role"),
                 "anova_engagement": statistics.anova(t.course_activity(wide=True), "learning_hours", "location"),
                 "regression": models.regression(
-                    _matrix(t), "avg_progress", "email", BEHAVIOUR, "linear", cv_folds=2
+                    _matrix(t), "avg_progress", "email", BEHAVIOUR, "linear"
                 )["metrics"],
             }
         ),
@@ -234,26 +234,26 @@ def _models(r: Registry) -> None:
     for kind in ("linear", "ridge", "lasso"):
         r.add(
             f"ml_3_regression_{kind}",
-            lambda t, kind=kind: models.regression(_matrix(t), "avg_progress", "email", BEHAVIOUR, kind, cv_folds=3)["metrics"],
+            lambda t, kind=kind: models.regression(_matrix(t), "avg_progress", "email", BEHAVIOUR, kind)["metrics"],
         )
     for kind in ("random_forest", "gradient_boosting"):
         r.add(
             f"ml_4_regression_{kind}",
             lambda t, kind=kind: models.regression(
-                _matrix(t), "avg_progress", "email", BEHAVIOUR, kind, cv_folds=2, trees=20
+                _matrix(t), "avg_progress", "email", BEHAVIOUR, kind
             )["metrics"],
         )
     for kind in ("logistic", "random_forest", "gradient_boosting"):
         r.add(
             f"ml_5_classification_{kind}",
             lambda t, kind=kind: models.classification(
-                models.high_performer_label(_matrix(t)), "_label", "email", BEHAVIOUR, kind, cv_folds=2, trees=20
+                models.high_performer_label(_matrix(t)), "_label", "email", BEHAVIOUR, kind
             )["metrics"],
         )
     r.add(
         "ml_6_classification_svm",
         lambda t: models.classification(
-            models.high_performer_label(_matrix(t)), "_label", "email", BEHAVIOUR, "svm", cv_folds=2
+            models.high_performer_label(_matrix(t)), "_label", "email", BEHAVIOUR, "svm"
         )["metrics"],
     )
     r.add(
@@ -272,7 +272,7 @@ def _models(r: Registry) -> None:
     )
     r.add(
         "ml_10_silhouette",
-        lambda t: clusters.clustering(_matrix(t), CLUSTER_INPUTS, "email", "kmeans", 3, starts=1)["metrics"],
+        lambda t: clusters.clustering(_matrix(t), CLUSTER_INPUTS, "email", "kmeans", 3)["metrics"],
     )
     labels = {
         "ml_11_dropout_model": ("dropout", lambda m: models.dropout_label(m, 45.0)),
@@ -283,35 +283,35 @@ def _models(r: Registry) -> None:
         r.add(
             name,
             lambda t, task=task, label=label: models.train_and_score(
-                label(_matrix(t)), task, "logistic_regression", cv_folds=2
+                label(_matrix(t)), task, "logistic_regression"
             )["metrics"],
         )
     r.add(
         "ml_14_train_and_score",
-        lambda t: models.train_and_score(models.high_performer_label(_matrix(t)), "high_performer", cv_folds=2, trees=20)[
+        lambda t: models.train_and_score(models.high_performer_label(_matrix(t)), "high_performer")[
             "top_flagged"
         ],
     )
     r.add(
         "ml_15_prediction_summary",
         lambda t: reports.prediction_summary(
-            models.prediction_metrics(models.all_predictions(_matrix(t), "logistic_regression", cv_folds=2))
+            models.prediction_metrics(models.all_predictions(_matrix(t), "logistic_regression"))
         ),
     )
     r.add(
         "ml_16_all_predictions",
-        lambda t: models.prediction_metrics(models.all_predictions(_matrix(t), "random_forest", cv_folds=2, trees=10)),
+        lambda t: models.prediction_metrics(models.all_predictions(_matrix(t), "random_forest")),
     )
     r.add(
         "ml_17_feature_importance",
-        lambda t: models.regression(_matrix(t), "avg_progress", "email", BEHAVIOUR, "random_forest", cv_folds=2, trees=20)[
+        lambda t: models.regression(_matrix(t), "avg_progress", "email", BEHAVIOUR, "random_forest")[
             "importances"
         ],
     )
     r.add(
         "ml_18_confusion_matrix",
         lambda t: models.classification(
-            models.high_performer_label(_matrix(t)), "_label", "email", BEHAVIOUR, "logistic", cv_folds=2
+            models.high_performer_label(_matrix(t)), "_label", "email", BEHAVIOUR, "logistic"
         )["confusion"],
     )
 

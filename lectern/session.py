@@ -61,5 +61,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def bucket_count(spark: SparkSession) -> int:
-    """Number of order buckets: follows the shuffle parallelism, within fixed bounds."""
-    return min(1024, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """Number of order buckets: as many as shuffle partitions, which are to be set with the size of the data."""
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
