@@ -55,7 +55,7 @@ def clustering(
     raw = cut_lineage(_points(df, columns, key))
     scaled = cut_lineage(standardised(raw, columns))
     if method == "kmeans":
-        vectors = assembled(scaled, columns).persist()
+        vectors = cut_lineage(assembled(scaled, columns))
         runs = [KMeans(k=n_clusters, seed=SEED + i).fit(vectors) for i in range(starts)]
         labels = min(runs, key=lambda m: m.summary.trainingCost).transform(vectors)
         labels = labels.select("_key", F.col("prediction").alias("cluster"))
@@ -105,30 +105,44 @@ def _distance2(a: Sequence[Column], b: Sequence[Column]) -> Column:
     return out
 
 
-def _offsets(dims: int) -> list[tuple[int, ...]]:
-    reach = math.ceil(math.sqrt(dims))
-    return list(itertools.product(range(-reach, reach + 1), repeat=dims))
+#: Axes along which neighbouring cells are looked up; cells farther away along another axis are filtered out.
+AXES = 3
+
+
+def _reach(dims: int) -> int:
+    return math.ceil(math.sqrt(dims))
 
 
 def _with_neighbours(df: DataFrame, cells: list[str]) -> DataFrame:
-    """One row per cell around (itself included), as `n_<cell>` columns."""
+    """One row per cell around along the first axes (itself included), as `n_<cell>` columns."""
+    steps = range(-_reach(len(cells)), _reach(len(cells)) + 1)
+    axes = cells[:AXES]
     moves = F.array(
-        *[F.struct(*[F.lit(o).alias(f"o{i}") for i, o in enumerate(move)]) for move in _offsets(len(cells))]
+        *[F.struct(*[F.lit(o).alias(f"o{i}") for i, o in enumerate(move)]) for move in itertools.product(steps, repeat=len(axes))]
     )
     wide = df.withColumn("_move", F.explode(moves))
-    return wide.withColumns({f"n_{c}": F.col(c) + F.col(f"_move.o{i}") for i, c in enumerate(cells)}).drop("_move")
+    return wide.withColumns({f"n_{c}": F.col(c) + F.col(f"_move.o{i}") for i, c in enumerate(axes)}).drop("_move")
+
+
+def _other_axes_near(cells: list[str], mine: str) -> Column:
+    """Along the axes after the first, the cells are near enough; `mine` is the prefix of one side's columns."""
+    near = F.lit(True)
+    for c in cells[AXES:]:
+        near = near & (F.abs(F.col(f"{mine}{c}") - F.col(c)) <= _reach(len(cells)))
+    return near
 
 
 def dbscan(
     df: DataFrame, columns: Sequence[str], key: str, eps: float = 0.5, min_samples: int = 5
 ) -> DataFrame:
-    """Exact density-based clusters over one to three columns; noise has cluster -1.
+    """Exact density-based clusters over any number of columns; noise has cluster -1.
 
     Clusters are numbered by their smallest core key, and a border point belongs to the first
-    of its clusters. The key must be a number that gives the row order, or a text.
+    of its clusters. The key must be a number that gives the row order, or a text; clusters
+    of text keys are numbered in the order of the keys' hashes.
     """
-    if not 1 <= len(columns) <= 3:
-        raise ValueError("between one and three columns")
+    if not columns:
+        raise ValueError("no columns")
     dims, side = len(columns), eps / math.sqrt(len(columns))
     cells = [f"_c{i}" for i in range(dims)]
     spots = (
@@ -142,8 +156,12 @@ def dbscan(
     dense = F.col("_cell_w") >= min_samples
 
     around = _with_neighbours(spots.where(~dense).select("_id", *columns, *cells), cells)
-    around = around.select("_id", *[F.col(c).alias(f"p_{c}") for c in columns], *[F.col(f"n_{c}").alias(c) for c in cells])
-    near = around.join(spots.select(*columns, *cells, "_w", F.col("_id").alias("_other")), cells).where(
+    axes = cells[:AXES]
+    around = around.select(
+        "_id", *[F.col(c).alias(f"p_{c}") for c in columns], *[F.col(f"n_{c}").alias(c) for c in axes],
+        *[F.col(c).alias(f"m_{c}") for c in cells[AXES:]],
+    )
+    near = around.join(spots.select(*columns, *cells, "_w", F.col("_id").alias("_other")), axes).where(_other_axes_near(cells, "m_")).where(
         _distance2([F.col(f"p_{c}") for c in columns], [F.col(q(c)) for c in columns]) <= eps * eps
     )
     counted = near.groupBy("_id").agg(F.sum("_w").alias("_near"))
@@ -183,13 +201,19 @@ def prefix_counts_of_labels(labels: DataFrame) -> DataFrame:
     return counted.select("_label", F.col("_before").cast("int").alias("cluster"))
 
 
-def _boxes(core: DataFrame, columns: Sequence[str], cells: list[str], side: float, level: int) -> DataFrame:
-    """Bounding box and one point of every part of a cell; a cell has 2^level parts per axis."""
-    parts = 2**level
-    subs = {
-        f"_s{i}": F.greatest(F.floor((F.col(q(x)) / side - F.col(c)) * parts), F.lit(0))
+FINEST = 52
+
+
+def _parts(columns: Sequence[str], cells: list[str], side: float, level: int) -> dict[str, Column]:
+    return {
+        f"_s{i}": F.greatest(F.floor((F.col(q(x)) / side - F.col(c)) * 2**level), F.lit(0))
         for i, (x, c) in enumerate(zip(columns, cells))
     }
+
+
+def _boxes(core: DataFrame, columns: Sequence[str], cells: list[str], side: float, level: int) -> DataFrame:
+    """Bounding box and one point of every part of a cell; a cell has 2^level parts per axis."""
+    subs = _parts(columns, cells, side, level)
     point = F.struct(*[F.col(q(x)).alias(f"r{i}") for i, x in enumerate(columns)])
     return (
         core.withColumns(subs)
@@ -208,8 +232,11 @@ def _cell_edges(
     """Pairs of cells with core points near each other."""
     dims = range(len(columns))
     core = cut_lineage(core.join(nodes, cells).select("_id", "_node", *columns, *cells))
-    shifted = _with_neighbours(nodes, cells).select(F.col("_node").alias("a"), *[F.col(f"n_{c}").alias(c) for c in cells])
-    pairs = shifted.join(nodes.withColumnRenamed("_node", "b"), cells).where(F.col("a") < F.col("b")).select("a", "b")
+    shifted = _with_neighbours(nodes, cells).select(
+        F.col("_node").alias("a"), *[F.col(f"n_{c}").alias(c) for c in cells[:AXES]], *[F.col(c).alias(f"m_{c}") for c in cells[AXES:]]
+    )
+    pairs = shifted.join(nodes.withColumnRenamed("_node", "b"), cells[:AXES]).where((F.col("a") < F.col("b")) & _other_axes_near(cells, "m_"))
+    pairs = pairs.select("a", "b")
     todo = pairs.select("a", "b", *[F.lit(0).cast("long").alias(f"{s}{i}") for s in "ab" for i in dims])
     edges = nodes.select(F.col("_node").alias("a"), F.col("_node").alias("b")).limit(0)
     level = 0
@@ -238,7 +265,7 @@ def _cell_edges(
         for s in "ab":
             for i in dims:
                 flat = flat & (F.col(f"{s}_lo{i}") == F.col(f"{s}_hi{i}"))
-        single = flat | F.lit(level >= 52)  # halves finer than a double can tell apart
+        single = flat
         limit = eps * eps
         judged = cut_lineage(
             step.select(
@@ -255,6 +282,14 @@ def _cell_edges(
         todo = cut_lineage(judged.where("_open").join(linked, ["a", "b"], "left_anti").drop("_yes", "_open"))
         if todo.isEmpty():
             return edges
+        if level == FINEST:  # halves finer than a double can tell apart: the few points left are compared themselves
+            parts = core.withColumns(_parts(columns, cells, side, level))
+            point = lambda t: parts.select(
+                F.col("_node").alias(t), *[F.col(f"_s{i}").alias(f"{t}{i}") for i in dims], *[F.col(q(c)).alias(f"{t}_p{i}") for i, c in enumerate(columns)]
+            )
+            both = todo.join(point("a"), ["a", *[f"a{i}" for i in dims]]).join(point("b"), ["b", *[f"b{i}" for i in dims]])
+            last = both.where(_distance2([F.col(f"a_p{i}") for i in dims], [F.col(f"b_p{i}") for i in dims]) <= limit)
+            return cut_lineage(edges.unionByName(last.select("a", "b").distinct()))
         level += 1
 
 

@@ -7,7 +7,8 @@ of the plan that made them, and survives the loss of executors.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
+    LogisticRegressionModel,
     OneVsRest,
     RandomForestClassifier,
 )
@@ -158,9 +160,11 @@ def rbf_features(df: DataFrame, columns: Sequence[str], size: int = 200, seed: i
 
 
 def importances(model: Model, columns: Sequence[str], spark: SparkSession) -> DataFrame:
-    """Tree importances, or absolute coefficients of linear models, largest first."""
+    """Tree importances, or absolute coefficients of linear models (their mean over several classes), largest first."""
     if hasattr(model, "featureImportances"):
         weights = model.featureImportances.toArray()
+    elif isinstance(model, LogisticRegressionModel):  # one row for two classes, else one per class
+        weights = np.abs(model.coefficientMatrix.toArray()).mean(0)
     elif hasattr(model, "coefficients"):
         weights = np.abs(model.coefficients.toArray())
     else:
@@ -223,12 +227,14 @@ def regression(
         return regressor(model_type, size["n"], size["s"] or 1.0, trees, depth).fit(part)
 
     model = fit(data.where(~F.col("_test")))
-    tested = model.transform(data.where("_test")).persist()
+    tested = cut_lineage(model.transform(data.where("_test")))
     score = {m: RegressionEvaluator(metricName=m).evaluate(tested) for m in ("r2", "rmse", "mae")}
-    folds = []
-    for i in range(cv_folds):
+
+    def fold(i: int) -> float:
         part = fit(data.where(F.col("_fold") != i))
-        folds.append(RegressionEvaluator(metricName="r2").evaluate(part.transform(data.where(F.col("_fold") == i))))
+        return RegressionEvaluator(metricName="r2").evaluate(part.transform(data.where(F.col("_fold") == i)))
+
+    folds = together(fold, cv_folds)
     spark = df.sparkSession
     metrics = _summary(
         spark, model_type=model_type, target=target, **score, cv_scores=folds, cv_mean=float(np.mean(folds)),
@@ -238,6 +244,12 @@ def regression(
     return {"metrics": metrics, "importances": importances(model, columns, spark), "predictions": predictions}
 
 
+def together(fold: Callable[[int], float], folds: int) -> list[float]:
+    """Scores of the folds, whose jobs the engine runs side by side."""
+    with ThreadPoolExecutor(max_workers=max(1, folds)) as pool:
+        return list(pool.map(fold, range(folds)))
+
+
 def _vectors(data: DataFrame, columns: list[str], model_type: str) -> DataFrame:
     return rbf_features(data, columns) if model_type == "svm" else assembled(data, columns)
 
@@ -274,11 +286,13 @@ def classification(
         return classifier(model_type, part.count(), rows["classes"], trees, depth).fit(part)
 
     model = fit(data.where(~F.col("_test")))
-    tested = model.transform(data.where("_test")).persist()
-    folds = []
-    for i in range(cv_folds):
+    tested = cut_lineage(model.transform(data.where("_test")))
+
+    def fold(i: int) -> float:
         held = fit(data.where(F.col("_fold") != i)).transform(data.where(F.col("_fold") == i))
-        folds.append(quality(_counts(held))["accuracy"])
+        return quality(_counts(held))["accuracy"]
+
+    folds = together(fold, cv_folds)
     spark = df.sparkSession
     metrics = _summary(
         spark, model_type=model_type, target=target, **quality(_counts(tested)), cv_scores=folds,
@@ -338,12 +352,14 @@ def train_and_score(
         return classifier(TASKS.get(model_type, "random_forest"), part.count(), 2, trees, depth).fit(part)
 
     model = fit(train)
-    scored = model.transform(data).persist()
+    scored = cut_lineage(model.transform(data))
     tested = scored.where("_test")
-    accuracy = []
-    for i in range(folds):
+
+    def fold(i: int) -> float:
         held = fit(data.where(F.col("_fold") != i)).transform(data.where(F.col("_fold") == i))
-        accuracy.append(quality(_counts(held))["accuracy"])
+        return quality(_counts(held))["accuracy"]
+
+    accuracy = together(fold, folds)
     auc = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", numBins=0).evaluate(tested)
     numbers = {**quality(_counts(tested)), "auc_roc": auc, "cv_mean_accuracy": np.mean(accuracy), "cv_std": np.std(accuracy)}
     metrics = _summary(

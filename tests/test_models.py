@@ -107,3 +107,24 @@ def test_dbscan_equals_a_plain_search(spark):
     df = spark.createDataFrame(pd.DataFrame({"id": range(200), "x": points[:, 0], "y": points[:, 1]}))
     got = clusters.dbscan(df.repartition(3), ["x", "y"], "id", 0.3, 5).toPandas().sort_values("id")["cluster"]
     assert got.tolist() == plain_dbscan(points, 0.3, 5).tolist()
+
+
+def test_dbscan_in_five_columns(spark):
+    centres = RNG.normal(0, 2, (4, 5))
+    points = np.concatenate([c + RNG.normal(0, 0.25, (30, 5)) for c in centres] + [RNG.uniform(-4, 4, (20, 5)), np.repeat(centres[:1] + 3, 10, 0)])
+    columns = list("abcde")
+    df = spark.createDataFrame(pd.DataFrame({"id": range(len(points)), **{c: points[:, i] for i, c in enumerate(columns)}}))
+    got = clusters.dbscan(df.repartition(3), columns, "id", 0.8, 5).toPandas().sort_values("id")["cluster"]
+    assert got.tolist() == plain_dbscan(points, 0.8, 5).tolist()
+
+
+def test_labels_of_any_kind(planted):
+    grades = planted.withColumn("grade", F.when(F.col("a") > 0.5, "A").when(F.col("a") > -0.5, "B").otherwise("C"))
+    out = models.classification(grades, "grade", "id", ["a", "b"], "logistic", cv_folds=2)
+    assert out["metrics"].first()["accuracy"] > 0.8
+    assert {r["label"] for r in out["confusion"].collect()} == {"A", "B", "C"} and {r["prediction"] for r in out["predictions"].collect()} <= {"A", "B", "C"}
+    numbers = planted.withColumn("two", F.col("side") + 1)
+    boosted = models.classification(numbers, "two", "id", ["a", "b"], "gradient_boosting", cv_folds=2, trees=3)
+    assert {r["label"] for r in boosted["confusion"].collect()} == {"1", "2"}
+    with pytest.raises(ValueError, match="more than"):
+        models.classification(planted, "a", "id", ["b"], "logistic")
