@@ -57,11 +57,15 @@ def _leaves(column: Column, kind: T.DataType) -> list[tuple[Column, T.DataType]]
     return [(column, kind)]
 
 
+#: Ordering columns that a bucket number can hold in 64 bits; rows that agree on all of them stay in one piece.
+LEAVES = 4
+
+
 def order_leaves(df: DataFrame, order_by: Sequence[str]) -> list[Column]:
-    """The first two atomic columns of an ordering, as doubles; struct fields count one by one."""
+    """The leading numeric and time columns of an ordering, LEAVES at most, as doubles; struct fields count one by one."""
     times = (T.TimestampType, T.TimestampNTZType, T.DateType)
     out: list[Column] = []
-    for column, kind in [x for c in order_by for x in _leaves(F.col(q(c)), df.schema[c].dataType)][:2]:
+    for column, kind in [x for c in order_by for x in _leaves(F.col(q(c)), df.schema[c].dataType)][:LEAVES]:
         if not isinstance(kind, (T.NumericType, *times)):
             break
         out.append((column.cast("timestamp") if isinstance(kind, times) else column).cast("double"))
@@ -74,7 +78,7 @@ def with_order_bucket(
     """Add a bucket number that never decreases along `order_by`.
 
     A value that equals a bound may be very frequent, so its rows are cut again by the
-    second ordering column. `seen` limits the rows the bounds are taken from.
+    next ordering column. Nulls come first. `seen` limits the rows the bounds are taken from.
     """
     leaves = order_leaves(df, order_by)
     if not leaves:
@@ -85,13 +89,12 @@ def with_order_bucket(
     stats = stats.select("*", *[_coarse(f"_b{i}", n).alias(f"_c{i}") for i in range(len(leaves))])
     # one row, a fixed number of array elements
     wide = df.crossJoin(F.broadcast(stats))
-    first = _bucket(leaves[0], "_b0", "_c0", n)
-    seg = first * (n + 2)
-    if len(leaves) == 2:
-        on_bound = F.get(F.col("_b0"), first) == leaves[0]
-        seg = seg + F.when(on_bound, _bucket(leaves[1], "_b1", "_c1", n) + 1).otherwise(0)
-    seg = F.coalesce(seg, F.lit(-1))
-    return wide.withColumn(out, seg.cast("int")).drop(*[f"_{k}{i}" for k in "bc" for i in range(len(leaves))])
+    seg, tied = F.lit(0).cast("long"), F.lit(True)
+    for i, leaf in enumerate(leaves):
+        bucket = F.coalesce(_bucket(leaf, f"_b{i}", f"_c{i}", n), F.lit(-1))
+        seg = seg * (n + 2) + F.when(tied, bucket + 1).otherwise(0)
+        tied = tied & F.coalesce(F.get(F.col(f"_b{i}"), bucket) == leaf, F.lit(False))
+    return wide.withColumn(out, seg).drop(*[f"_{k}{i}" for k in "bc" for i in range(len(leaves))])
 
 
 def with_value_bucket(df: DataFrame, value: str, out: str, alone: str) -> DataFrame:
