@@ -31,7 +31,7 @@ MAX_HASHES = 128
 SEED = 9
 #: Classes in a block of a large bucket, and sets that a verifying task holds at least before it is closed.
 BLOCK = 256
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
