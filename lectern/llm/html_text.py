@@ -32,6 +32,7 @@ STEPS, RATE, PENALTY = 200, 0.3, 1e-4
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset("head script style textarea title xmp iframe noembed noframes noscript template svg math object audio video canvas select datalist".split())
+HEAD_TAGS = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split()
 )
@@ -122,10 +123,17 @@ def parse(source: str) -> Page:
             if stack[i][0] in until:
                 return
 
+    def leave_head() -> None:
+        """An open head ends before what does not belong in it; its end tag is optional."""
+        while stack[-1][0] == "head":
+            pop()
+
     at, size = 0, len(source)
     while at < size:
         start = source.find("<", at)
         start = size if start < 0 else start
+        if hidden and source[at:start].strip():
+            leave_head()
         if start > at and not hidden:
             text = html.unescape(source[at:start])
             buffer.append(text)
@@ -144,6 +152,7 @@ def parse(source: str) -> Page:
         closing = following == "/"
         name = OPEN_TAG.match(source, start + 1 + closing)
         if not name:
+            leave_head()
             if not hidden:
                 buffer.append("<")
             at = start + 1
@@ -162,6 +171,8 @@ def parse(source: str) -> Page:
                 flush()
             continue
         attributes = source[name.end() : end]
+        if tag not in HEAD_TAGS:
+            leave_head()
         if tag == "br" or tag == "wbr":
             if tag == "br" and not hidden:
                 buffer.append(" ")

@@ -69,3 +69,12 @@ def test_odd_input(spark):
 def test_runs_of_text():
     page = parse("<p>one<br>two <i>three</i><div>four<!-- no --></div>five")
     assert [t for t in page.text if t] == ["one two three", "four", "five"]
+
+
+def test_head_without_end_tag():
+    texts = lambda source: [t for t in parse(source).text if t]
+    top = "<html><head><meta charset=utf-8><title>x</title><style>p {}</style><noscript><p>no</p></noscript>\n"
+    assert texts(top + "<body><article><p>Hi <b>you</b></p></article></body></html>") == ["Hi you"]
+    assert texts(top + "<p>Hi</p><p>there") == texts(top + "</head><body><p>Hi</p><p>there") == texts(top + "<head><body><p>Hi</p><p>there") == ["Hi", "there"]
+    assert texts(top + "Hi <!-- no --><p>there") == ["Hi", "there"]
+    assert fit([]).text(PAGE.replace("</head>", "")) == fit([]).text(PAGE)
