@@ -53,7 +53,9 @@ FRAME_WORDS = frozenset(
 MAIN_WORDS = frozenset("article content post entry story main body text articlebody maincontent".split())
 OPEN_TAG = re.compile(r"([a-zA-Z][^\s/>]*)")
 NAMES = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
-HIDES = re.compile(r"""(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
+MAY_HIDE = re.compile("hidden|style", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s/][^\s/=]*)(?:\s*=\s*(?:"([^"]*)(?:"|$)|'([^']*)(?:'|$)|([^\s"']\S*)))?""")
+DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([^;]*)", re.IGNORECASE)
 QUOTED = re.compile(r"""=\s*(["'])""")
 SPLIT_NAME = re.compile(r"[a-z]+|[A-Z]+[a-z]*")
 
@@ -89,6 +91,18 @@ def _tag_end(source: str, start: int) -> int:
         start = close + 1
 
 
+def hides(attributes: str) -> bool:
+    """Whether an element is hidden by its attribute hidden, aria-hidden=true, or display: none as the display its style ends up with."""
+    if not MAY_HIDE.search(attributes):
+        return False
+    values: dict[str, str] = {}
+    for name, *value in ATTRIBUTE.findall(attributes):
+        values.setdefault(name.lower(), html.unescape("".join(value)))  # the first of a name counts
+    shown = [v.lower() for v in DISPLAY.findall(re.sub(r"/\*.*?\*/", " ", values.get("style", ""), flags=re.DOTALL))]
+    shown = [v for v in shown if "!important" in v.replace(" ", "")] or shown
+    return "hidden" in values or values.get("aria-hidden", "").strip().lower() == "true" or bool(shown) and shown[-1].split("!")[0].strip() == "none"
+
+
 def parse(source: str) -> Page:
     """The tree of block elements and runs of text. Unclosed and misnested tags are closed as browsers do; anything unknown is a block."""
     page = Page()
@@ -192,7 +206,7 @@ def parse(source: str) -> Page:
             continue
         if attributes.endswith("/") and tag not in INLINE and tag not in CLOSES_P:
             continue
-        if hidden or tag in HIDDEN or HIDES.search(attributes):
+        if hidden or tag in HIDDEN or hides(attributes):
             if tag not in INLINE:
                 flush()
             stack.append((tag, -2))

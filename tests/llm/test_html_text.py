@@ -8,7 +8,7 @@ import re
 
 import pytest
 
-from lectern.llm.html_text import Model, extract, fit, marginals, parse, train
+from lectern.llm.html_text import Model, extract, fit, hides, marginals, parse, train
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body><header class="site"><h1>Site</h1></header>
 <div class="cookie-notice"><p>We use cookies, and more cookies. Please accept our long cookie text here.</p></div>
@@ -78,3 +78,15 @@ def test_head_without_end_tag():
     assert texts(top + "<p>Hi</p><p>there") == texts(top + "</head><body><p>Hi</p><p>there") == texts(top + "<head><body><p>Hi</p><p>there") == ["Hi", "there"]
     assert texts(top + "Hi <!-- no --><p>there") == ["Hi", "there"]
     assert fit([]).text(PAGE.replace("</head>", "")) == fit([]).text(PAGE)
+
+
+def test_only_hiding_attributes_hide():
+    for shown in (
+        ' title="the hidden truth" href=x', ' data-title="A hidden cost"', ' class="post hidden lg:block"', " class=hidden", " data-hidden=1", ' aria-hidden="false"', ' title="aria-hidden=true"',
+        ' data-style="display:none"', ' title="use display:none here"', ' style="display:none;display:block"', ' style="--x-display:none"', " title='a \"hidden\" b'", " title=hidden", ' alt = "x hidden',
+    ):
+        assert not hides(shown), shown
+    for hidden in (" hidden", ' class="a"hidden', " HIDDEN=''", " hidden/", ' hidden="until-found"', " aria-hidden=true", ' ARIA-Hidden = "True"', ' style="color:red; Display : NONE !important;display:block"', " style=display:none", " style='/* a */display:none'"):
+        assert hides(hidden), hidden
+    page = parse('<article class="post hidden lg:block"><p>one <a title="the hidden truth" href=x>two</a><section data-title="A hidden cost"><p>three</section><p hidden>four</article>')
+    assert [t for t in page.text if t] == ["one two", "three"]
