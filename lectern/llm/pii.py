@@ -48,7 +48,7 @@ WORD = r"[^\W\d_]"
 NUMERIC = re.compile(
     r"""(?P<email>(?u:(?<![\w.%+-])\w[\w.%+-]{0,63})@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24})
     |(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d))
-    |(?P<secret>(?<![\w])(?=[0-9a-f]{0,63}[a-f])(?=[0-9a-f]{0,63}\d)(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![\w]))
+    |(?P<secret>(?<![\w])(?=[0-9a-fA-F]{0,63}[a-fA-F])(?=[0-9a-fA-F]{0,63}\d)(?:[0-9a-fA-F]{64}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32})(?![\w]))
     |(?P<iban>(?<![\w])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![\w]))
     |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
     |(?P<card>(?<![\w])(?:\d{4}[ -]){3}\d{4}(?![\w])|(?<![\w+])\d{13,19}(?![\w]))

@@ -58,3 +58,12 @@ def test_tables(spark):
 
 def test_corpus_has_no_collisions(spark):
     assert collisions(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "k").count() == 0
+
+
+def test_secrets_in_either_case():
+    for secret in ("9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "9b0b3c6a43eb78AA99CBd7049c572391", "0A" * 32):
+        for text in (secret, secret.lower()):
+            ((_, _, kind, new),) = entities(f'TOKEN = "{text}"', KEY)
+            assert kind == "secret" and new != text and [c.isupper() for c in new if c.isalpha()] == [c.isupper() for c in text if c.isalpha()]
+        assert pii.REPLACE["secret"](KEY, secret).lower() == pii.REPLACE["secret"](KEY, secret.lower())
+    assert entities("A" * 32 + " " + "1A" * 18 + " " + "0A" * 15, KEY) == []
