@@ -56,6 +56,14 @@ NUMERIC = re.compile(
        |(?<![\w])\(\d{3}\)[ ]?\d{3}[ .-]\d{4}(?![\w])|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))""",
     re.VERBOSE | re.ASCII,
 )
+# What ends an international phone number: other entities, and, if what comes before is a whole number, dates, times and national numbers.
+KIND = {m[1]: m[0] for m in re.finditer(r"\(\?P<(\w+)>.*(?:\n {7}.*)*", NUMERIC.pattern)}
+ENTITY = re.compile("|".join(KIND[k] for k in ("email", "ip", "ssn", "card")), re.VERBOSE | re.ASCII)
+OTHER = re.compile(
+    r"""\d{4}([-.])\d{1,2}\1\d{1,2}(?![\w-])|\d{1,2}([-.])\d{1,2}\2\d{4}(?![\w-])|\d{1,2}:\d{2}(?!\d)|\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])""", re.ASCII
+)
+NANP = re.compile(r"\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w|[.-]\d)", re.ASCII)
+LEAST_DIGITS, MOST_DIGITS = 7, 15
 PERSON = re.compile(
     rf"\b(?:(?P<title>{'|'.join(TITLES)})\.?[ ])(?:(?P<first>{WORD}+)[ ])??(?P<last>(?!{'|'.join(POOL_OF)}\b){WORD}+)(?!\w)"
     rf"|\b(?P<given>{'|'.join(POOL_OF)})[ ](?P<family>{WORD}{{2,}})(?!\w)"
@@ -168,12 +176,53 @@ REPLACE: dict[str, Callable[[bytes, str], str]] = {
 }
 
 
+def _entity_at(text: str, at: int) -> bool:
+    """Whether another entity begins at a group of digits. One of a card's form only is none if it hides a valid card that begins later."""
+    m = None if text[at - 1] == "-" else ENTITY.match(text, at)
+    if not m or m.lastgroup != "card" or luhn(_only(m[0])):
+        return bool(m)
+    return not any(c.lastgroup == "card" and luhn(_only(c[0])) for i in range(at + 1, m.end()) if (c := ENTITY.match(text, i)))
+
+
+def _phone_end(text: str, start: int, end: int) -> int:
+    """Where the international number that begins at `start` and may go on to `end` stops; `start` if another entity has its digits.
+
+    Of the ends of its groups, the last within MOST_DIGITS is taken at which no number goes on after a dot or hyphen.
+    """
+    plan = NANP.match(text, start)
+    if plan:
+        return plan.end()
+    ends, digits = [], 0
+    for group in re.finditer(r"[0-9]+", text[start:end]):
+        at = start + group.start()
+        if _entity_at(text, at) or digits >= LEAST_DIGITS and OTHER.match(text, at):
+            if digits < LEAST_DIGITS:
+                return start
+            return max((e for e, n, _ in ends if n <= MOST_DIGITS), default=ends[-1][0])
+        digits += len(group[0])
+        ends.append((start + group.end(), digits, re.match(r"[.-][0-9]", text[start + group.end() :][:2])))
+    return max((e for e, n, more in ends if LEAST_DIGITS <= n <= MOST_DIGITS and not more), default=end)
+
+
+def _numeric(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of all that NUMERIC finds, with phone numbers ended where they end."""
+    at = 0
+    while m := NUMERIC.search(text, at):
+        kind, (start, at) = m.lastgroup, m.span()
+        if kind == "phone" and m[0][0] == "+":
+            at = _phone_end(text, start, at)
+        if at > start:
+            yield start, at, kind
+        else:
+            at = start + 1
+
+
 def entities(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, surrogate) of every entity, in order and without overlaps."""
     found = []
     if re.search(r"[0-9@]", text):
-        for m in NUMERIC.finditer(text):
-            found.append((m.start(), m.end(), m.lastgroup, REPLACE[m.lastgroup](key, m[0])))
+        for start, end, kind in _numeric(text):
+            found.append((start, end, kind, REPLACE[kind](key, text[start:end])))
     for m in PERSON.finditer(text):
         parts = [(p, m[p]) for p in ("first", "last", "given", "family") if m[p]]
         if not all(s[0].isupper() for _, s in parts):

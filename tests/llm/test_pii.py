@@ -67,3 +67,19 @@ def test_secrets_in_either_case():
             assert kind == "secret" and new != text and [c.isupper() for c in new if c.isalpha()] == [c.isupper() for c in text if c.isalpha()]
         assert pii.REPLACE["secret"](KEY, secret).lower() == pii.REPLACE["secret"](KEY, secret.lower())
     assert entities("A" * 32 + " " + "1A" * 18 + " " + "0A" * 15, KEY) == []
+
+
+def test_phone_ends_before_what_follows():
+    kinds = lambda text: [(text[a:b], k) for a, b, k, _ in entities(text, KEY)]
+    for phone in ("+1 (017) 555-7713", "+1-826-555-4081", "+44 (0171) 555-4081", "+49 30 1234567", "+33 06 12 34 56 78", "+4930123456"):
+        for other, kind in (
+            ("190.137.223.204", "ip"), ("10.0.0.1", "ip"), ("123-45-6789", "ssn"), ("4111 1111 1111 1111", "card"), ("4845168114407329", "card"), ("12.anna@mail.example.com", "email"),
+            ("212-555-0123", "phone"), (phone, "phone"), ("2024-01-02", None), ("02.01.2024", None), ("12:30", None),
+        ):
+            assert kinds(f"x {phone} {other} y") == [(phone, "phone")] + [(other, kind)] * (kind is not None), (phone, other)
+    assert kinds("+1 (017) 555-7713 2024") == [("+1 (017) 555-7713", "phone")]
+    assert kinds("+49 170 1234567 12345 67890") == [("+49 170 1234567", "phone")]
+    assert kinds("+1 190.137.223.204") == [("190.137.223.204", "ip")]
+    assert [k for _, k in kinds("+123 45678 90123 45678 90123")] == ["phone"]
+    alone = entities("+1 (826) 555-4081", KEY)[0][3]
+    assert entities("+1 (826) 555-4081 190.137.223.204", KEY)[0][3] == alone
