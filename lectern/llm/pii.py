@@ -64,10 +64,18 @@ OTHER = re.compile(
 )
 NANP = re.compile(r"\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w|[.-]\d)", re.ASCII)
 LEAST_DIGITS, MOST_DIGITS = 7, 15
+UPPER = "[" + "".join(c for c in map(chr, range(0x10000)) if c.isupper() and c.isalpha()) + "]"
+# What is no part of a name although it is capitalised: titles, suffixes and the labels of other entities.
+NO_NAME = rf"(?!(?:{'|'.join(TITLES)}|Jr|Sr|II|III|IV|IBAN|SSN|IP|ID|PIN|TOKEN|E-?[Mm]ail|Mail|Tel|Phone)(?!\w))"
+PART = rf"{NO_NAME}{UPPER}(?:{WORD}+|(?=['’]{UPPER}))(?:['’-]{UPPER}{WORD}*)*(?!\w)"
+INITIAL = rf"{UPPER}\."
+PARTICLE = r"(?:(?:van|von|de|del|di|da|du|dos)[ ](?:(?:der|den|dem|la|las|los)[ ])?|d['’])"
 PERSON = re.compile(
-    rf"\b(?:(?P<title>{'|'.join(TITLES)})\.?[ ])(?:(?P<first>{WORD}+)[ ])??(?P<last>(?!{'|'.join(POOL_OF)}\b){WORD}+)(?!\w)"
-    rf"|\b(?P<given>{'|'.join(POOL_OF)})[ ](?P<family>{WORD}{{2,}})(?!\w)"
+    rf"\b(?:(?:{'|'.join(TITLES)})\.?|(?:{'|'.join(POOL_OF)})(?:-{UPPER}{WORD}*)*(?!\w))[ ]"
+    rf"(?:{INITIAL}[ -]?|{UPPER}[ ]|{PARTICLE}|{PART}[ ])*(?:{PART}|{INITIAL})"
 )
+TITLE = re.compile(rf"(?:{'|'.join(TITLES)})\.?[ ]")
+NAME_WORD = re.compile(rf"(?<!\w){UPPER}{WORD}*")
 
 
 @lru_cache(maxsize=200_000)
@@ -224,10 +232,9 @@ def entities(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
         for start, end, kind in _numeric(text):
             found.append((start, end, kind, REPLACE[kind](key, text[start:end])))
     for m in PERSON.finditer(text):
-        parts = [(p, m[p]) for p in ("first", "last", "given", "family") if m[p]]
-        if not all(s[0].isupper() for _, s in parts):
-            continue
-        found.extend((*m.span(p), "person", (surname if p in ("last", "family") else given_name)(key, s)) for p, s in parts)
+        title = TITLE.match(m[0])
+        for w in NAME_WORD.finditer(text, m.start() + (title.end() if title else 0), m.end()):
+            found.append((*w.span(), "person", (given_name if w[0] in POOL_OF else surname)(key, w[0])))
     out: list[tuple[int, int, str, str]] = []
     for e in sorted(found):
         if not out or e[0] >= out[-1][1]:

@@ -83,3 +83,25 @@ def test_phone_ends_before_what_follows():
     assert [k for _, k in kinds("+123 45678 90123 45678 90123")] == ["phone"]
     alone = entities("+1 (826) 555-4081", KEY)[0][3]
     assert entities("+1 (826) 555-4081 190.137.223.204", KEY)[0][3] == alone
+
+
+def test_whole_names():
+    def words(text):
+        found = entities(text, KEY)
+        assert all(k == "person" for *_, k, _ in found)
+        return [text[a:b] for a, b, _, _ in found]
+
+    for name in (
+        "Mary Ann Smith", "John Michael Smith", "Mary Smith-Jones", "Mary O'Brien", "Mary O’Brien", "John F. Kennedy", "John F Kennedy", "George R.R. Martin", "Mary-Ann Smith", "María José García Márquez",
+        "Анна Мария Петрова-Иванова", "John SMITH", "Mary B.",
+    ):
+        want = re.findall(r"[^\W\d_]+", name)
+        for before in ("", "Mrs. ", "Frau "):
+            assert words(f"Then {before}{name}, who met us") == want, (before, name)
+    assert words("Mr O'Brien and Mr. J. Smith's car") == ["O", "Brien", "J", "Smith"] and words("Mr Rowan Bean-Jones said") == ["Rowan", "Bean", "Jones"]
+    assert words("Mary van der Berg and Herr von Braun and Paul d'Arc") == ["Mary", "Berg", "Braun", "Paul", "Arc"]
+    assert words("Mary Smith Mr. Jones and John Smith Jr. or Mary Smith IBAN") == ["Mary", "Smith", "Jones", "John", "Smith", "Mary", "Smith"]
+    assert words("Mary Smith's dog, and Mary's lamb; John had Mary. The end; Paul-based Mary lamb") == ["Mary", "Smith"]
+    by = [{t[a:b]: s for a, b, _, s in entities(t, KEY)} for t in ("Mary Smith-Jones", "Mary Ann Smith", "Mr Jones", "Mr Smith Jones")]
+    assert by[0]["Smith"] == by[1]["Smith"] == by[3]["Smith"] != "Smith" and by[0]["Jones"] == by[2]["Jones"] == by[3]["Jones"] != "Jones"
+    assert entities("Mary " + "A. " * 20000 + "x", KEY) and entities("Mary " + "Smith " * 20000, KEY)
