@@ -316,7 +316,14 @@ def ngram_join(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS,
 
 
 def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """`docs` with the smallest doc_id of each group of near-equal texts; rows with a null doc_id stay."""
-    keep = ngram_join(docs, similarity).where("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
-    lone = docs.where("doc_id is null")
-    return docs.join(keep, F.col("doc_id") == F.col("__kept"), "left_semi").unionByName(lone)
+    """One row of `docs` for each group of near-equal texts: of those with its smallest doc_id, the first as the table was read.
+
+    Rows count by themselves, also those that repeat a doc_id. Rows with a null doc_id stay, and rows without words are groups of their own.
+    """
+    numbered = cut_lineage(docs.withColumn("__row", F.monotonically_increasing_id()))
+    rows = numbered.where("doc_id is not null")
+    classes = ngram_join(rows.select(F.col("__row").alias("doc_id"), "text"), similarity)
+    named = classes.select(F.col("doc_id").alias("__of"), "class_id").join(rows.select("__row", F.col("doc_id").cast("long").alias("__id")), F.col("__of") == F.col("__row"))
+    keep = named.groupBy("class_id").agg(F.min(F.struct("__id", "__row")).alias("first")).select(F.col("first.__row").alias("__kept"))
+    kept = numbered.join(keep, F.col("__row") == F.col("__kept"), "left_semi")
+    return kept.unionByName(numbered.where("doc_id is null")).drop("__row")

@@ -70,3 +70,10 @@ def test_empty(spark):
 def test_banding():
     bands, rows = bands_and_rows(0.8)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 128
+
+
+def test_one_row_of_a_group_is_kept(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, a), (5, b), (3, b + " more"), (3, c), (7, a + " more"), (8, c), (8, c), (9, ""), (None, a), (None, a)]
+    got = representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, [(5, a), (3, b + " more"), (3, c), (9, ""), (None, a), (None, a)]))
