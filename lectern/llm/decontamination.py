@@ -11,6 +11,8 @@ Candidates are verified on the whole shingle sets. All steps are DataFrame funct
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,18 +29,31 @@ def words(text: Column) -> Column:
     return F.split(F.btrim(F.lower(text), F.lit(BLANKS)), r"[ \t\n\r\f\x0b]+")
 
 
-def shingles(df: DataFrame, key: str, n: int = WORDS) -> DataFrame:
-    """`key` and `h`, one row per run of `n` words of `text`, with repetition; none for null and for shorter texts.
+def _runs(n: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(n)]))
+
+
+def shingles(df: DataFrame, key: str, n: int = WORDS, short: Sequence[int] = ()) -> DataFrame:
+    """`key` and `h`, one row per run of `n` words of `text`, with repetition, and per run of each length in `short`; none for null and for shorter texts.
 
     Words become a column of their own first: inside the lambda they would be split again for every run. The outer
     explode keeps the optimizer from computing the hashes once more for a filter on their number.
     """
     split = df.where(F.col(key).isNotNull()).select(key, words(F.col("text")).alias("w"))
-    runs = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(n)]))
-    hashed = split.select(key, F.when(F.size("w") >= n, runs).alias("hs"))
+    runs = [F.when(F.size("w") >= m, _runs(m)) for m in (n, *short)]
+    if short:
+        runs = [F.concat(*[F.coalesce(r, F.array().cast("array<bigint>")) for r in runs])]
+    hashed = split.select(key, runs[0].alias("hs"))
     return hashed.select(key, F.explode_outer("hs").alias("h")).where("h is not null")
 
 
+def short_items(items: DataFrame, n: int) -> DataFrame:
+    """`item_id`, `m` and `h` of items of m words, fewer than `n`: the whole item is its one shingle."""
+    split = items.where("item_id is not null").select("item_id", words(F.col("text")).alias("w")).where((F.size("w") < n) & (F.get("w", F.lit(0)) != ""))
+    whole = F.coalesce(*[F.when(F.size("w") == m, F.xxhash64(*[F.get("w", F.lit(k)) for k in range(m)])) for m in range(1, n)], F.lit(None).cast("bigint"))
+    return split.select("item_id", F.size("w").alias("m"), whole.alias("h"))
+
+
 def size_class(n: Column) -> Column:
     """The largest power of two that is not above the size."""
     return F.pow(F.lit(2), F.floor(F.log2(n))).cast("long")
@@ -49,10 +64,12 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAIN
 
     Input: `doc_id`, `text` and `item_id`, `text`; other columns are ignored. Result: `doc_id`, `item_id`, `n_shared`, `n_item` and
     `containment`. Shingles are sets over whole texts in lower case, so order and repetition of passages play no part; rows
-    with the same id count as one text. Rows with a null id, null texts and texts of fewer than `n` words take
-    no part; empty tables give no rows.
+    with the same id count as one text. An item of m < `n` words has one shingle of m words and is looked for among the documents' runs
+    of m words. Rows with a null id, null texts and texts without words take no part; empty tables give no rows.
     """
-    item_rows = shingles(items, "item_id", n).distinct()
+    whole = short_items(items, n)
+    short = sorted(r.m for r in whole.select("m").distinct().collect())  # lengths below n
+    item_rows = shingles(items, "item_id", n).union(whole.select("item_id", "h")).distinct()
     sized = item_rows.withColumns({
         "n_item": F.count("*").over(Window.partitionBy("item_id")),
         "rank": F.row_number().over(Window.partitionBy("item_id").orderBy(F.xxhash64("h", F.lit(SEED)), "h")),
@@ -62,10 +79,10 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAIN
     item_table = cut_lineage(sized.select("item_id", "h", "n_item", (F.col("rank") <= sketch_length).alias("in_sketch")))
 
     sketches = small(item_table.where("in_sketch").select("item_id", "h"))
-    candidates = cut_lineage(shingles(docs, "doc_id", n).join(sketches, "h").select("doc_id", "item_id").distinct())
+    candidates = cut_lineage(shingles(docs, "doc_id", n, short).join(sketches, "h").select("doc_id", "item_id").distinct())
 
     ids = small(candidates.select("doc_id").distinct())
-    rows = shingles(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "doc_id", n)
+    rows = shingles(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "doc_id", n, short)
     shared = (
         rows.join(small(item_table.select("item_id", "h", "n_item")), "h").distinct()
         .groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"), F.max("n_item").alias("n_item"))

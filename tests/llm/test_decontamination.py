@@ -44,3 +44,12 @@ def test_native_and_empty(spark):
     found = contaminated(d, b)
     assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
     assert contaminated(d.limit(0), b).count() == 0 and contaminated(d, b.limit(0)).count() == 0
+
+
+def test_items_of_few_words(spark):
+    items = [(1, "Forty two"), (2, "answer"), (3, "to be or not"), (4, " "), (5, None), (6, "one two three four five"), (None, "answer")]
+    docs = [(1, "the ANSWER is forty\ttwo"), (2, "forty and two"), (3, "answer"), (4, ""), (5, None), (6, "or not to be"), (7, "so to be or not"), (8, "one two three four five"), (8, "forty two forty two"), (None, "answer")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = contaminated(d, b)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, 1, 1, 1.0), (1, 2, 1, 1, 1.0), (3, 2, 1, 1, 1.0), (7, 3, 1, 1, 1.0), (8, 1, 1, 1, 1.0), (8, 6, 1, 1, 1.0)]
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
