@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import chat_repair, decontamination, html_text, line_crf, multi_index, ngram_join, packing, pii, repeats, token_counts
+from lectern.llm import (
+    chat_repair, decontamination, html_text, lexical_search, line_crf, multi_index, ngram_join, packing, pii, repeats, token_counts, toxic_spans, whitening,
+)
 
 
 #: The key of the registered query only; in use, give a secret of your own.
@@ -61,9 +63,23 @@ def op10_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, folder, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_toxic_spans(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxic_spans.train(docs, table(spark, folder, "labels"))
+    return toxic_spans.tag(docs, model).select("doc_id", "held_out", "score", "predicted", "spans")
+
+
+def op13_whitened_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 QUERIES = (
     op1_ngram_jaccard_join, op2_chat_role_repair, op3_inverted_multi_index, op4_contaminated_documents, op5_html_main_text, op6_harmonic_packing, op7_surrogates, op8_line_quality, op9_token_counts,
-    op10_repeated_strings,
+    op10_repeated_strings, op11_lexical_search, op12_toxic_spans, op13_whitened_embeddings,
 )
 
 
@@ -72,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_contaminated_documents": decontamination.ORACLE}
+    return {"op4_contaminated_documents": decontamination.ORACLE, "op11_lexical_search": lexical_search.ORACLE}
