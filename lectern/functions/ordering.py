@@ -97,21 +97,6 @@ def with_order_bucket(
     return wide.withColumn(out, seg).drop(*[f"_{k}{i}" for k in "bc" for i in range(len(leaves))])
 
 
-def with_value_bucket(df: DataFrame, value: str, out: str, alone: str) -> DataFrame:
-    """Bucket along a column; `alone` marks the buckets that hold one single value.
-
-    Every value that equals a bound gets a bucket of its own, so the other buckets hold a
-    bounded share of the rows whatever the frequencies are.
-    """
-    n = bucket_count(df.sparkSession)
-    v = F.col(q(value)).cast("double")
-    stats = _bounds(df, [v], n).select("_b0", _coarse("_b0", n).alias("_c0"))
-    wide = df.crossJoin(F.broadcast(stats))  # one row, a fixed number of array elements
-    first = _bucket(v, "_b0", "_c0", n)
-    wide = wide.withColumn(alone, F.coalesce(F.get(F.col("_b0"), first) == v, F.lit(False)))
-    return wide.withColumn(out, (first * 2 + F.col(alone).cast("int")).cast("int")).drop("_b0", "_c0")
-
-
 def value_counts(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Distinct non-null values per group with their number of rows (`_cnt`)."""
     kept = df.where(F.col(q(value)).isNotNull())
@@ -153,6 +138,23 @@ def prefix_counts(hist: DataFrame, value: str, keys: Sequence[str] = ()) -> Data
     return _running(_join_offsets(cut, offsets, keys), value, keys).drop("_seg", "_in", "_off")
 
 
+def prefix_sums(hist: DataFrame, value: str, sums: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Add for every summed column `c` its sum over smaller values of the group, `_before_c`, and over the group, `_all_c`."""
+    cut = with_order_bucket(hist, [value])
+    totals = cut.groupBy(*keys, "_seg").agg(*[F.sum(c).alias(f"_in_{c}") for c in sums])
+    per_key = Window.partitionBy(*keys)  # at most one row per bucket
+    earlier = per_key.orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *keys, "_seg",
+        *[F.coalesce(F.sum(f"_in_{c}").over(earlier), F.lit(0)).alias(f"_off_{c}") for c in sums],
+        *[F.sum(f"_in_{c}").over(per_key).alias(f"_all_{c}") for c in sums],
+    )
+    inside = Window.partitionBy(*keys, "_seg").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    joined = cut.join(offsets, [*keys, "_seg"])
+    joined = joined.withColumns({f"_before_{c}": F.col(f"_off_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
+    return joined.drop("_seg", *[f"_off_{c}" for c in sums])
+
+
 def exact_quantiles(
     df: DataFrame, value: str, marks: dict[str, float], keys: Sequence[str] = ()
 ) -> DataFrame:

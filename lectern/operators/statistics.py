@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.exprs import numeric_columns, q, rounded, significance_text
-from lectern.functions.ordering import exact_quantiles_of, prefix_counts, with_value_bucket
+from lectern.functions.ordering import exact_quantiles_of, prefix_sums
 from lectern.functions.pvalues import f_p_value, t_p_value
 from lectern.session import cut_lineage
 
@@ -126,98 +126,167 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*cells)))
 
 
-def _joint(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Distinct pairs of values with their number of rows."""
-    return (
-        df.select(_value(df, a).alias("x"), _value(df, b).alias("y"))
-        .dropna()
-        .groupBy("x", "y")
-        .agg(F.count(F.lit(1)).alias("_cnt"))
+#: Digits of ranks count up to this, so that no table of cells has more than its square of rows, whatever the data are.
+RANK_BASE = 1024
+
+
+def _ranked_rows(df: DataFrame, columns: Sequence[str], partners: bool) -> DataFrame:
+    """One row per input row with `s`, an array of (f, dense, ranks) for each of its known values, by column number.
+
+    `dense` counts the smaller distinct values of the column. With `partners`, `ranks[g]` is the rank among the rows that
+    know column g too, minus the mean rank; ties share their average rank. All columns are ranked together in long form, so
+    the number of passes over the data does not depend on the number of columns or pairs.
+    """
+    known = [_value(df, c) for c in columns]
+    sides = [F.col(f"p{i}") for i in range(len(columns))] if partners else []
+    wide = df.select(
+        F.monotonically_increasing_id().alias("_row"),
+        *[v.alias(f"v{i}") for i, v in enumerate(known)],
+        *[v.isNotNull().cast("int").alias(f"p{i}") for i, v in enumerate(known) if partners],
     )
+    # written, so that a row keeps its number if a task is run again
+    wide = cut_lineage(wide)
+    cells = wide.select(
+        "_row", *sides, F.inline(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"v{i}").alias("value")) for i in range(len(columns))]))
+    ).where(F.col("value").isNotNull())
+    counts = [f"c{i}" for i in range(len(columns)) if partners]
+    hist = cells.groupBy("f", "value").agg(F.lit(1).alias("one"), *[F.sum(f"p{i}").alias(c) for i, c in enumerate(counts)])
+    ranked = prefix_sums(cut_lineage(hist), "value", ["one", *counts], ["f"])
+    rank = [F.col(f"_before_{c}") + (F.col(c) + 1) / 2 - (F.col(f"_all_{c}") + 1) / 2 for c in counts]
+    ranks = ranked.select("f", "value", F.col("_before_one").alias("dense"), F.array(*rank).alias("ranks"))
+    joined = cells.select("_row", "f", "value").join(ranks, ["f", "value"])
+    return joined.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("f", "dense", "ranks"))).alias("s"))
+
+
+def _row_pairs(rows: DataFrame) -> DataFrame:
+    """`a`, `b` (column numbers) and `x`, `y` for every two known values of a row."""
+    found = F.expr(
+        "flatten(transform(s, (x, i) -> transform(slice(s, i + 2, size(s)), y -> struct(x.f AS a, y.f AS b, x AS x, y AS y))))"
+    )
+    return rows.select(F.inline(found))
 
 
-def _average_ranks(joint: DataFrame, value: str) -> DataFrame:
-    """Rank of each value minus the mean rank; ties share their average rank."""
-    hist = joint.groupBy(value).agg(F.sum("_cnt").alias("_cnt"))
-    ranks = prefix_counts(hist, value)
-    rank = F.col("_before") + (F.col("_cnt") + 1) / 2 - (F.col("_n") + 1) / 2
-    return ranks.select(value, rank.alias(f"_r{value}"))
+def _all_pairs(df: DataFrame, found: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """`a`, `b`, `r` for all pairs of column names; r is null where no row knows both."""
+    names = [F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), F.lit(columns[i]).alias("_a"), F.lit(columns[j]).alias("_b")) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    pairs = df.sparkSession.range(1).select(F.inline(F.array(*names)))
+    return pairs.join(F.broadcast(found), ["a", "b"], "left").select(F.col("_a").alias("a"), F.col("_b").alias("b"), "r")  # one row per pair
+
+
+def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rank correlations of all pairs, each over the rows where both values are known."""
+    both = _row_pairs(_ranked_rows(df, columns, partners=True)).select(
+        "a", "b", F.element_at("x.ranks", F.col("b") + 1).alias("x"), F.element_at("y.ranks", F.col("a") + 1).alias("y")
+    )
+    x, y = F.col("x"), F.col("y")
+    sums = both.groupBy("a", "b").agg(F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"))
+    return _all_pairs(df, sums.select("a", "b", F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy")).alias("r")), columns)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation of two columns; one row."""
-    joint = _joint(df, a, b)
-    ranked = joint.join(_average_ranks(joint, "x"), "x").join(_average_ranks(joint, "y"), "y")
-    c, x, y = F.col("_cnt"), F.col("_rx"), F.col("_ry")
-    sums = ranked.agg(F.sum(c * x * y).alias("xy"), F.sum(c * x * x).alias("xx"), F.sum(c * y * y).alias("yy"))
-    r = F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))
-    return sums.select(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r"))
+    return spearman_pairs(df, [a, b])
 
 
-_SIGNS = T.StructType([T.StructField("s", T.DoubleType())])
+_SIGNS = "a int, b int, s double"
+_TABLE = ["a", "b", "lx", "ly", "px", "py"]
 
 
-def _signed_pairs(rank: np.ndarray, key: np.ndarray, weight: np.ndarray) -> float:
-    """Sum of w_i * w_j * sign(key_j - key_i) over all pairs with rank_i < rank_j.
+def _signed_pairs(group: np.ndarray, rank: np.ndarray, key: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Per element i, the sum of w_i * w_j * sign(key_i - key_j) over the j of its group with rank_j < rank_i.
 
-    Counted like a merge sort: at each level the ranks fall into blocks with two halves, and
-    cumulative weights along the keys tell how much of the left half lies below and above
-    every element of the right half.
+    Counted like a merge sort: at each level the ranks of a group fall into blocks with two halves, and
+    cumulative weights along the keys tell how much of the left half lies below and above every element of the right half.
+    Groups, ranks and keys are whole numbers from 0.
     """
-    _, dense = np.unique(rank, return_inverse=True)
-    _, value = np.unique(key, return_inverse=True)
-    levels = int(dense.max()) + 1 if len(dense) else 0
-    total, size = 0.0, 1
-    while size < levels:
-        block = dense // (2 * size)
-        order = np.lexsort((value, block))
+    total, size = np.zeros(len(rank)), 1
+    top, width = int(rank.max(initial=0)) + 1, int(key.max(initial=0)) + 1
+    while size < top:
+        block = group * top + rank // (2 * size)
+        order = np.lexsort((key, block))
         g = block[order]
-        run = g.astype(np.int64) * (int(value.max()) + 1) + value[order]
-        w, right = weight[order], (dense[order] // size) % 2 == 1
+        run = g * width + key[order]
+        w, right = weight[order], (rank[order] // size) % 2 == 1
         upto = np.concatenate([[0.0], np.cumsum(np.where(right, 0.0, w))])
         below = upto[np.searchsorted(run, run, side="left")] - upto[np.searchsorted(g, g, side="left")]
         above = upto[np.searchsorted(g, g, side="right")] - upto[np.searchsorted(run, run, side="right")]
-        total += float(np.sum(np.where(right, w * (below - above), 0.0)))
+        total[order] += np.where(right, w * (below - above), 0.0)
         size *= 2
     return total
 
 
-def _pair_signs(rank: str, key: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        signs = _signed_pairs(pdf[rank].to_numpy(), pdf[key].to_numpy(), pdf["_cnt"].to_numpy(dtype=float))
-        return pd.DataFrame({"s": [signs]})
+def _table_signs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Signed pairs of whole tables of cells; a partition holds tables one after the other."""
+
+    def counted(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(parts, ignore_index=True)
+        keys = rows[_TABLE].to_numpy()
+        start = np.r_[True, (keys[1:] != keys[:-1]).any(1)]
+        group = np.cumsum(start) - 1
+        several = (np.bincount(group) > 1)[group]  # a table of one cell has no pairs
+        rows, group = rows[several], np.unique(group[several], return_inverse=True)[1]
+        signs = _signed_pairs(group, rows["x"].to_numpy(), rows["y"].to_numpy(), rows["w"].to_numpy(dtype=float))
+        return rows[["a", "b"]].assign(s=signs).groupby(["a", "b"], as_index=False).sum()
+
+    kept: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = batch[_TABLE].to_numpy()
+        # the last table of the batch may go on in the next one
+        last = int(np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])[-1])
+        if kept and last == 0 and (kept[-1][_TABLE].to_numpy()[-1] == keys[0]).all():
+            kept.append(batch)
+            continue
+        done = [*kept, batch.iloc[:last]]
+        if sum(map(len, done)):
+            yield counted(done)
+        kept = [batch.iloc[last:]]
+    if kept:
+        yield counted(kept)
+
+
+def kendall_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Kendall's tau-b of all pairs, exact, without building pairs of rows.
+
+    Values become dense ranks, written as digits in base RANK_BASE. Two points differ first in some digit of x and first in
+    some digit of y, so every pair of points is counted in exactly one table: the one of these two places and of the digits
+    before them, whose cells are the digits at these places. A table has at most RANK_BASE squared cells for any data, and
+    points fall together in cells before they are shuffled. Two points in one table that share the digit of x or of y
+    count nothing there. Work is N log(N)^2 in the number of distinct points, with the base in the logarithm.
+    """
+    points = _row_pairs(_ranked_rows(df, columns, partners=False)).select("a", "b", F.col("x.dense").alias("x"), F.col("y.dense").alias("y"))
+    points = cut_lineage(points.groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("w")))
+    top = points.agg(F.greatest(F.max("x"), F.max("y"))).first()[0] or 0
+    places = 1
+    while RANK_BASE**places <= top:
+        places += 1
+    powers = [RANK_BASE**i for i in range(places)]
+    tables = F.array(*[
+        F.struct(
+            F.lit(i).alias("lx"), F.lit(j).alias("ly"),
+            F.expr(f"x div {u * RANK_BASE}").alias("px"), F.expr(f"y div {v * RANK_BASE}").alias("py"),
+            F.expr(f"x div {u} % {RANK_BASE}").alias("x"), F.expr(f"y div {v} % {RANK_BASE}").alias("y"),
+        )
+        for i, u in enumerate(powers) for j, v in enumerate(powers)
+    ])
+    cells = points.select("a", "b", "w", F.inline(tables)).groupBy(*_TABLE, "x", "y").agg(F.sum("w").alias("w"))
+    signs = cells.repartition(*_TABLE).sortWithinPartitions(*_TABLE).mapInPandas(_table_signs, _SIGNS)
+    score = signs.groupBy("a", "b").agg(F.sum("s").alias("s"))
 
-    return run
+    def ties(name: str, *by: str) -> DataFrame:
+        c = F.col("w").cast("double")
+        return points.groupBy("a", "b", *by).agg(F.sum("w").alias("w")).groupBy("a", "b").agg(F.sum(c * (c - 1) / 2).alias(name))
 
+    # one row per pair of columns each
+    wide = ties("p").join(F.broadcast(ties("px", "x")), ["a", "b"]).join(F.broadcast(ties("py", "y")), ["a", "b"]).join(F.broadcast(score), ["a", "b"], "left")
+    tau = F.try_divide(F.coalesce("s", F.lit(0.0)), F.sqrt(F.col("p") - F.col("px")) * F.sqrt(F.col("p") - F.col("py")))
+    return _all_pairs(df, wide.select("a", "b", tau.alias("r")), columns)
 
-def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Kendall's tau-b of two columns, exact, without building pairs of rows; one row.
 
-    Rows collapse to distinct value pairs, and each axis is cut into buckets. A pair of points
-    lies in different x buckets and different y buckets (counted from the table of cells), or
-    in one x bucket, or in one y bucket but different x buckets. The last two are counted per
-    bucket by merging. A bucket holds a bounded share of the distinct pairs: a value that is
-    so frequent that it would exceed it has a bucket of its own, in which all pairs are tied.
-    """
-    joint = _joint(df, a, b)
-    cut = cut_lineage(with_value_bucket(with_value_bucket(cut_lineage(joint), "x", "_bx", "_ax"), "y", "_by", "_ay"))
-    # table of cells: bounded by the square of the number of buckets
-    cells = cut.groupBy("_bx", "_by").agg(F.sum("_cnt").alias("_cnt"))
-    cross = cells.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_pair_signs("_bx", "_by"), _SIGNS)
-    same_x = cut.where(~F.col("_ax")).groupBy("_bx").applyInPandas(_pair_signs("x", "y"), _SIGNS)
-    same_y = cut.where(~F.col("_ay")).groupBy("_by").applyInPandas(_pair_signs("_bx", "y"), _SIGNS)
-    score = cross.unionByName(same_x).unionByName(same_y).agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
-
-    def ties(*by: str) -> DataFrame:
-        c = F.col("_c").cast("double")
-        sums = cut.groupBy(*by).agg(F.sum("_cnt").alias("_c")) if by else cut.agg(F.sum("_cnt").alias("_c"))
-        return sums.agg(F.sum(c * (c - 1) / 2).alias("p" + "".join(by)))
-
-    wide = score
-    for part in (ties(), ties("x"), ties("y")):
-        wide = wide.crossJoin(F.broadcast(part))  # one row each
-    tau = F.try_divide(F.col("s"), F.sqrt(F.col("p") - F.col("px")) * F.sqrt(F.col("p") - F.col("py")))
-    return wide.select(F.lit(a).alias("a"), F.lit(b).alias("b"), tau.alias("r"))
+def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Kendall's tau-b of two columns; one row."""
+    return kendall_pairs(df, [a, b])
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson") -> DataFrame:
@@ -225,12 +294,10 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None, method: st
     chosen = list(columns) if columns else numeric_columns(df)
     if method == "pearson":
         pairs = pearson_pairs(df, chosen)
-    elif method in ("spearman", "kendall"):
-        one = spearman if method == "spearman" else kendall
-        pairs = None
-        for a, b in _pairs(chosen):
-            part = one(df, a, b)
-            pairs = part if pairs is None else pairs.unionByName(part)
+    elif method == "spearman":
+        pairs = spearman_pairs(df, chosen)
+    elif method == "kendall":
+        pairs = kendall_pairs(df, chosen)
     else:
         raise ValueError(f"unknown method: {method}")
     return correlation_matrix(pairs, chosen)

@@ -65,6 +65,24 @@ def _kendall_sql(columns: list[str], table: str) -> str:
     return " UNION ALL ".join(f"SELECT '{a}' AS feature, {', '.join(cell(a, b) for b in columns)}" for a in columns)
 
 
+def _kendall_levels_sql(a: str, b: str, table: str) -> str:
+    """Kendall's tau-b of two columns with many distinct values: pairs are split by the highest bit in which their x ranks differ."""
+    pts = f"(SELECT {a} AS x, {b} AS y, count(*)::DOUBLE AS w FROM {table} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2)"
+
+    def ties(k: str) -> str:
+        return f"(SELECT sum(c * (c - 1) / 2) FROM (SELECT sum(w) AS c FROM {pts} GROUP BY {k}))"
+
+    ranks = f"SELECT dense_rank() OVER (ORDER BY x) - 1 AS r, y, w FROM {pts}"
+    bits = f"SELECT bit, r >> (bit + 1) AS block, (r >> bit) & 1 AS half, y, w FROM ({ranks}), (SELECT unnest(range(0, 40)) AS bit)"
+    lower = "CASE WHEN half = 0 THEN w ELSE 0 END"
+    sums = f"""SELECT half, w, sum({lower}) OVER (PARTITION BY bit, block ORDER BY y) AS upto,
+            sum({lower}) OVER (PARTITION BY bit, block, y) AS same, sum({lower}) OVER (PARTITION BY bit, block) AS every FROM ({bits})"""
+    s = f"(SELECT sum(w * ((upto - same) - (every - upto))) FROM ({sums}) WHERE half = 1)"
+    n = f"(SELECT sum(w) * (sum(w) - 1) / 2 FROM {pts})"
+    r = rnd(f"{s} / (sqrt({n} - {ties('x')}) * sqrt({n} - {ties('y')}))")
+    return f"SELECT '{a}' AS feature, 1.0::DOUBLE AS {a}, {r} AS {b} UNION ALL SELECT '{b}', {r}, 1.0::DOUBLE"
+
+
 T_COLUMNS = ["group_a", "group_b", "group_a_mean", "group_b_mean", "group_a_n", "group_b_n", "t_statistic"]
 
 
@@ -113,6 +131,7 @@ def _statistics(r: Registry) -> None:
     r.add(
         "sta_5_kendall_continuous",
         lambda t: statistics.correlations(t.course_activity(), ["progress_pct", "learning_hours"], "kendall"),
+        with_tables("ca", _kendall_levels_sql("progress_pct", "learning_hours", "ca")),
     )
     r.add(
         "sta_6_t_test",

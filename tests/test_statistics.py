@@ -48,6 +48,39 @@ def test_correlations(frame, method):
     assert got.loc["x", "x"] == 1.0
 
 
+def test_kendall_tables_are_bounded(spark, monkeypatch):
+    """With a tiny base there are many places and tables, and none has more cells than the base squared."""
+    monkeypatch.setattr(statistics, "RANK_BASE", 3)
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"x": rng.permutation(300).astype(float), "y": rng.integers(0, 100, 300) / 7, "z": np.where(rng.random(300) < 0.4, 1.0, rng.normal(size=300))})
+    pdf.loc[rng.random(300) < 0.1, "z"] = np.nan
+    sizes = []
+    plain = statistics._signed_pairs
+    monkeypatch.setattr(statistics, "_signed_pairs", lambda group, *rest: sizes.append(np.bincount(group).max(initial=0)) or plain(group, *rest))
+    got = statistics.correlations(spark.createDataFrame(pdf).repartition(5), ["x", "y", "z"], "kendall").toPandas().set_index("feature")
+    for a, b in itertools.combinations("xyz", 2):
+        both = pdf[[a, b]].dropna()
+        assert got.loc[a, b] == pytest.approx(tau_b(both[a], both[b]), abs=1e-12)
+    cells = pd.DataFrame(
+        [(0, 1, 0, 0, p, 0, x, y, 1 + x * y % 3) for p in range(50) for x in range(3) for y in range(3)], columns=[*statistics._TABLE, "x", "y", "w"]
+    )
+    whole = pd.concat(statistics._table_signs(iter([cells]))).s.sum()
+    cut = pd.concat(statistics._table_signs(iter([cells.iloc[i : i + 4] for i in range(0, len(cells), 4)]))).s.sum()
+    assert whole == cut == 50 * sum(
+        (1 + x * y % 3) * (1 + u * v % 3) * np.sign(v - y) for x in range(3) for y in range(3) for u in range(x + 1, 3) for v in range(3)
+    )
+    assert max(sizes) <= 9
+
+
+def test_rank_correlations_of_odd_columns(spark):
+    rows = [(1.0, None, 5.0, float("nan")), (2.0, None, 5.0, 1.0), (3.0, None, 5.0, 2.0), (None, 1.0, 5.0, 3.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    for method in ("spearman", "kendall"):
+        got = {r["feature"]: r for r in statistics.correlations(df, ["a", "b", "c", "d"], method).collect()}
+        assert got["a"]["d"] == pytest.approx(1.0) and got["a"]["b"] is None and got["a"]["c"] is None and got["b"]["b"] == 1.0
+        assert {r["feature"]: r["a"] for r in statistics.correlations(df.limit(0), ["a", "b"], method).collect()} == {"a": 1.0, "b": None}
+
+
 def test_distributions(frame):
     pdf, df = frame
     got = statistics.distributions(df).toPandas().set_index("feature")
