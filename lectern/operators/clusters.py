@@ -1,4 +1,4 @@
-"""Clustering: k-means, bisecting k-means and density-based clusters."""
+"""Clustering: k-means, Ward, bisecting k-means and density-based clusters."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lectern.functions.exprs import q
 from lectern.functions.ordering import prefix_counts
 from lectern.operators.models import SEED, assembled, standardised
+from lectern.operators.ward import ward
 from lectern.session import cut_lineage
 
 
@@ -48,8 +49,8 @@ def clustering(
 ) -> dict[str, DataFrame]:
     """Labels, sizes, centres and silhouette on standardised features.
 
-    `hierarchical` divides top-down (bisecting k-means). The silhouette uses squared
-    distances, which needs only one pass.
+    `hierarchical` merges by Ward's criterion and also returns `merges`; `bisecting` divides top-down. The silhouette uses
+    squared distances, which needs only one pass.
     """
     columns = [c for c in features if c in df.columns]
     raw = cut_lineage(_points(df, columns, key))
@@ -60,6 +61,8 @@ def clustering(
         labels = min(runs, key=lambda m: m.summary.trainingCost).transform(vectors)
         labels = labels.select("_key", F.col("prediction").alias("cluster"))
     elif method == "hierarchical":
+        labels, merges = ward(scaled, columns, "_key", n_clusters)
+    elif method == "bisecting":
         # the first split starts from a fraction of the centre's length, which must not be zero
         moved = assembled(scaled.withColumns({c: F.col(q(c)) + 1.0 for c in columns}), columns)
         model = BisectingKMeans(k=n_clusters, seed=SEED).fit(moved)
@@ -80,7 +83,8 @@ def clustering(
         pd.DataFrame({"method": [method], "n_clusters": [int(kinds["k"])], "silhouette_score": [float(silhouette)]})
     )
     named = labels.withColumnRenamed("_key", key)
-    return {
+    extra = {"merges": merges} if method == "hierarchical" else {}
+    return extra | {
         "labels": named,
         "sizes": cluster_sizes(named),
         "centres": centres(raw.withColumnRenamed("_key", key), named, columns, key),

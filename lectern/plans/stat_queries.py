@@ -282,13 +282,21 @@ def _models(r: Registry) -> None:
     r.add(
         "ml_8_dbscan",
         lambda t: clusters.clustering(
-            _matrix(t).withColumn("id", F.col("email").cast("long")), CLUSTER_INPUTS[:2], "id", "dbscan", eps=0.25
+            _matrix(t).withColumn("id", F.col("email").cast("long")), CLUSTER_INPUTS, "id", "dbscan", eps=0.25
         )["labels"],
     )
     r.add(
         "ml_9_hierarchical",
         lambda t: clusters.clustering(_matrix(t), CLUSTER_INPUTS, "email", "hierarchical", 4)["sizes"],
     )
+    r.add(
+        "ml_9_ward_merges",
+        lambda t: clusters.clustering(_matrix(t), CLUSTER_INPUTS, "email", "hierarchical", 4)["merges"],
+    )
+    r.add(
+        "ml_9_bisecting",
+        lambda t: clusters.clustering(_matrix(t), CLUSTER_INPUTS, "email", "bisecting", 4)["sizes"],
+    )
     r.add(
         "ml_10_silhouette",
         lambda t: clusters.clustering(_matrix(t), CLUSTER_INPUTS, "email", "kmeans", 3)["metrics"],

@@ -67,7 +67,7 @@ def test_task_with_one_class(spark):
     assert "Only one class" in out["metrics"].first()["error"] and set(out) == {"metrics"}
 
 
-@pytest.mark.parametrize("method", ["kmeans", "hierarchical"])
+@pytest.mark.parametrize("method", ["kmeans", "hierarchical", "bisecting"])
 def test_planted_clusters_are_recovered(spark, method):
     spots = np.array([[0, 0], [10, 0], [0, 10]])
     truth = np.arange(150) % 3
