@@ -15,7 +15,6 @@ import json
 import re
 import unicodedata
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -35,8 +34,10 @@ END_ID = 2
 SHORT = 64
 #: A piece is not cut if k pieces of its length leave at most capacity / TOLERANCE tokens unused.
 TOLERANCE = 128
-#: Words whose ids a Python worker keeps between batches.
+#: Pre-tokens whose ids a Python worker keeps between batches.
 CACHE_WORDS = 600_000
+#: Characters of text whose pre-tokens are looked up together.
+BLOCK_CHARS = 2_000_000
 
 # The pre-token pattern of word_bpe_49k.json, and control characters that Python counts as
 # white space but the tokenizer does not.
@@ -46,11 +47,10 @@ SPECIALS = ("<|startoftext|>", "<|endoftext|>")
 
 
 class WordEncoder:
-    """Token ids of whole texts, word by word: this tokenizer never looks across white space.
+    """Token ids of whole texts, pre-token by pre-token: this tokenizer never looks across their borders.
 
-    Ids are kept per distinct word and per distinct pre-token as bytes (little-endian unsigned 32 bit), so a text
-    is one join of known byte strings. Texts with control characters or with a special token's string
-    go through the tokenizer as they are.
+    The ids of every distinct pre-token are kept as bytes (little-endian unsigned 32 bit), so a text is one join of known
+    byte strings. Texts with control characters or with a special token's string go through the tokenizer as they are.
     """
 
     def __init__(self, name: str):
@@ -65,44 +65,52 @@ class WordEncoder:
         spec["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         self.parts = Tokenizer.from_str(json.dumps(spec))
         self.find = regex.compile(PRE_TOKEN).findall
-        self.words: dict[str, bytes] = {}
         self.pre: dict[str, bytes] = {}
 
-    def _learn(self, new: list[str]) -> None:
-        # The tokenizer lowers character by character, so a last sigma is a plain one.
-        low = [w.lower() if w.isascii() else unicodedata.normalize("NFC", w).replace("Σ", "σ").lower() for w in new]
-        split = [[w] if w.isalpha() else self.find(w) for w in low]
-        unseen = list({p for parts in split for p in parts if p not in self.pre})
+    def _learn(self, unseen: list[str]) -> None:
         for i in range(0, len(unseen), 2000):
             part = unseen[i : i + 2000]
             ids = np.array(self.parts.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype="<u4")
             stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            raw, at = ids.tobytes(), 0
-            if len(stops) != len(part):  # a pre-token without an end mark: one by one
-                for p in part:
-                    self.pre[p] = np.array(self.parts.encode([p], is_pretokenized=True, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            raw = ids.tobytes()
+            if len(stops) == len(part):
+                self.pre.update((p, raw[start:stop]) for p, start, stop in zip(part, [0, *stops], stops))
                 continue
-            for p, stop in zip(part, stops, strict=True):
-                self.pre[p] = raw[at:stop]
-                at = stop
-        pre = self.pre
-        for w, parts in zip(new, split, strict=True):
-            self.words[w] = b"".join([pre[p] for p in parts])
+            for p in part:  # one of them has no end mark: one by one
+                self.pre[p] = np.array(self.parts.encode([p], is_pretokenized=True, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _split(self, text: str) -> list[str] | None:
+        if ODD_SPACES.search(text) or any(s in text for s in SPECIALS):
+            return None
+        if not text.isascii():  # the tokenizer lowers character by character, so a last sigma is a plain one
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return self.find(text.lower())
+
+    def _encode_block(self, texts: list[str]) -> Iterator[bytes]:
+        split = [self._split(t) for t in texts]
+        plain = [parts for parts in split if parts is not None]
+        new = set().union(*plain).difference(self.pre)
+        if len(self.pre) + len(new) > CACHE_WORDS and self.pre:
+            self.pre = {}
+            new = set().union(*plain)
+        self._learn(list(new))
+        of = self.pre.__getitem__
+        for text, parts in zip(texts, split, strict=True):
+            if parts is None:
+                yield array.array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+            else:
+                yield b"".join(map(of, parts))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if any(s in text for s in SPECIALS) or ODD_SPACES.search(text):
-                yield array.array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-                continue
-            words = text.split()
-            try:
-                yield b"".join([self.words[w] for w in words])
-            except KeyError:
-                if len(self.words) > CACHE_WORDS:
-                    self.words.clear()
-                    self.pre.clear()
-                self._learn(list({w for w in words if w not in self.words}))
-                yield b"".join([self.words[w] for w in words])
+        """Ids of every text; the unseen pre-tokens of a block of texts are learnt together."""
+        i = 0
+        while i < len(texts):
+            j, size = i, 0
+            while j < len(texts) and (j == i or size + len(texts[j]) <= BLOCK_CHARS):
+                size += len(texts[j])
+                j += 1
+            yield from self._encode_block(texts[i:j])
+            i = j
 
 
 @lru_cache(maxsize=2)
@@ -110,10 +118,9 @@ def _encoder(name: str) -> WordEncoder:
     return WordEncoder(name)
 
 
-def cut(length: int, capacity: int = CAPACITY) -> list[int]:
-    """Lengths of the pieces of one document, in order; all but short ones are close to capacity / k."""
-    pieces = [capacity] * (length // capacity)
-    rest = length % capacity
+@lru_cache(maxsize=2 * CAPACITY)
+def _cut_rest(rest: int, capacity: int) -> tuple[int, ...]:
+    pieces = []
     while rest:
         k = capacity // rest
         if rest < SHORT or capacity - k * rest <= capacity // TOLERANCE:
@@ -122,30 +129,57 @@ def cut(length: int, capacity: int = CAPACITY) -> list[int]:
         piece = capacity // -(-capacity // rest)
         pieces.append(piece)
         rest -= piece
-    return pieces
+    return tuple(pieces)
+
+
+def cut(length: int, capacity: int = CAPACITY) -> list[int]:
+    """Lengths of the pieces of one document, in order; all but short ones are close to capacity / k."""
+    return [capacity] * (length // capacity) + list(_cut_rest(length % capacity, capacity))
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, k int, worker int, at long"
 
 
+def _numbered(k: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Running number of every piece in its class, from the numbers `seen` so far, which are moved on."""
+    order = np.argsort(k, kind="stable")
+    first = np.searchsorted(k[order], k[order])
+    out = np.empty(len(k), dtype=np.int64)
+    out[order] = seen[k[order]] + np.arange(len(k)) - first
+    seen += np.bincount(k, minlength=len(seen))
+    return out
+
+
 def _pieces(tokenizer: str, capacity: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    end = END_ID.to_bytes(4, "little")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(tokenizer)
-        seen: Counter[int] = Counter()
-        end = END_ID.to_bytes(4, "little")
-        columns = [x.split()[0] for x in PIECES.split(", ")]
+        seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            rows = []
-            for doc, worker, ids in zip(batch["doc_id"], batch["worker"], encoder.encode(batch["text"].tolist()), strict=True):
-                view, start = memoryview(ids + end), 0
-                for n in cut(len(view) // 4, capacity):
-                    k = capacity // n
-                    rows.append((doc, start, n, zlib.crc32(view[4 * start : 4 * (start + n)]), len(view) // 4, k, worker, seen[k]))
-                    seen[k] += 1
-                    start += n
-            out = pd.DataFrame(rows, columns=columns)
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            size, count, crc, start, length = [], [], [], [], []
+            for ids in encoder.encode(batch["text"].tolist()):
+                view, at = memoryview(ids + end), 0
+                pieces = cut(len(view) // 4, capacity)
+                size.append(len(view) // 4)
+                count.append(len(pieces))
+                length += pieces
+                for n in pieces:
+                    start.append(at)
+                    crc.append(zlib.crc32(view[4 * at : 4 * (at + n)]))
+                    at += n
+            length, count = np.array(length, dtype=np.int64), np.array(count, dtype=np.int64)
+            k = capacity // length
+            yield pd.DataFrame({
+                "doc_id": batch["doc_id"].astype("Int64").repeat(count).array,
+                "start": np.array(start, dtype=np.int64),
+                "length": length,
+                "ids_crc32": np.array(crc, dtype=np.int64),
+                "doc_tokens": np.repeat(np.array(size, dtype=np.int64), count),
+                "k": k.astype(np.int32),
+                "worker": batch["worker"].to_numpy().repeat(count),
+                "at": _numbered(k, seen),
+            })
 
     return run
 
