@@ -21,13 +21,14 @@ from lectern.functions.fixed import (
     STUDENT_REQUIRED,
 )
 from lectern.session import cut_lineage
+from lectern.sources.records import read_records
 
 ROW_ID = "_row_id"
 #: Columns that the readers add; no other column is treated in a special way.
 PROVENANCE = (ROW_ID, "_source_file", "_source_type")
 CORRUPT = "_corrupt"
-#: Bits of a row number for the file and for the place in it.
-FILE_BITS, PLACE_BITS = 18, 45
+#: Bits of a row number, shared by the file's number and the place in the largest file; files whose numbers are broadcast at most.
+ROW_BITS, BROADCAST_FILES = 62, 100_000
 
 
 def list_files(spark: SparkSession, folder: str) -> list[str]:
@@ -64,19 +65,41 @@ def read_csv(spark: SparkSession, file: str | list[str], encoding: str = "utf-8"
 
 
 def inspect_csv(spark: SparkSession, file: str) -> list[Row]:
-    """One row per file, from one pass: path, header line, lines that are not utf-8, lines with an odd number of quotes."""
-    lines = spark.read.text(file).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    """One row per file, from one pass: path, header line, size in bytes, lines that are not utf-8, lines with an odd number of quotes."""
+    lines = spark.read.text(file).select("value", "_metadata.file_path", "_metadata.file_size", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
     return (
         lines.groupBy("file_path").agg(
             F.min_by("value", F.struct("file_block_start", "at")).alias("header"),
+            F.max("file_size").alias("size"),
             F.count_if(~F.is_valid_utf8("value")).alias("not_utf8"),
-                F.count_if((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1).alias("odd_quotes"),
+            F.count_if((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1).alias("odd_quotes"),
         ).orderBy("file_path").collect()
     )
 
 
-def _read_parts(spark: SparkSession, file: str, multiline: bool | None) -> tuple[DataFrame | None, dict[str, int]]:
-    """All part files as text columns with the corrupt record, `_path`, `_start`, `_at`, and the number of each path in order."""
+def _parsed_records(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
+    """Files with records over several lines, read by as many tasks as they have splits."""
+    schema = read_csv(spark, paths, encoding, multiline=True).schema.add(CORRUPT, "string")
+    options = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "multiLine": "true"}
+    rows = read_records(spark, paths, encoding).where("start > 0 OR at > 0")  # the first record is the header
+    parsed = rows.select(F.from_csv("record", F.lit(schema.toDDL()), options).alias("_fields"), F.col("path").alias("_path"), F.col("start").alias("_start"), F.col("at").alias("_at"))
+    return parsed.select("_fields.*", "_path", "_start", "_at")
+
+
+def _parsed_lines(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
+    schema = read_csv(spark, paths, encoding).schema.add(CORRUPT, "string")
+    df = (
+        spark.read.schema(schema).option("header", True).option("encoding", encoding)
+        .option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(paths)
+    )
+    return df.select(
+        "*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"),
+    )
+
+
+def _read_parts(spark: SparkSession, file: str, multiline: bool | None) -> tuple[DataFrame | None, dict[str, int], int]:
+    """All part files as text columns with the corrupt record, `_path`, `_start`, `_at`; the number of each path in order; the largest size."""
     parts = inspect_csv(spark, file)
     encoding = "ISO-8859-1" if any(p["not_utf8"] for p in parts) else "utf-8"
     multiline = any(p["odd_quotes"] for p in parts) if multiline is None else multiline
@@ -85,43 +108,36 @@ def _read_parts(spark: SparkSession, file: str, multiline: bool | None) -> tuple
         headers.setdefault(p["header"].lstrip("\ufeff").rstrip("\r"), []).append(unquote(p["file_path"]))
     out = None
     for paths in headers.values():
-        schema = read_csv(spark, paths, encoding, multiline).schema.add(CORRUPT, "string")
-        df = (
-            spark.read.schema(schema).option("header", True).option("encoding", encoding).option("multiLine", multiline)
-            .option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(paths)
-        )
-        df = df.select(
-            "*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"),
-            F.monotonically_increasing_id().alias("_at"),
-        )
+        df = _parsed_records(spark, paths, encoding) if multiline else _parsed_lines(spark, paths, encoding)
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out, {p["file_path"]: i for i, p in enumerate(parts)}
+    return out, {p["file_path"]: i for i, p in enumerate(parts)}, max((p["size"] for p in parts), default=0)
 
 
 def read_csv_any_encoding(spark: SparkSession, file: str, multiline: bool | None = None) -> DataFrame:
     """A file or a folder of part files, with `_row_id` in the order of files and of their lines.
 
     The encoding is utf-8, or latin-1 if any line does not decode. With `multiline` None, records over several lines are expected
-    if a line has an odd number of quotes; such files are read by one task each. Part files with the same header are
+    if a line has an odd number of quotes; such files are split like others. Part files with the same header are
     read together, and the groups joined by column name. See `malformed_records` for records with too few or too many fields.
     """
-    out, number = _read_parts(spark, file, multiline)
+    out, number, size = _read_parts(spark, file, multiline)
     if out is None:
         return read_csv(spark, file).withColumn(ROW_ID, F.lit(None).cast("long"))
-    if len(number) >= 1 << FILE_BITS:
-        raise ValueError(f"more than {1 << FILE_BITS} files in {file}")
-    files = spark.createDataFrame(list(number.items()), "_path string, _file long")
     # A task reads one block, or several small files, and never more rows than a block has bytes: twice the block's
     # start leaves room for its rows.
-    place = F.col("_start") * 2 + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    place_bits = (2 * size + 2).bit_length()
+    if len(number) >> (ROW_BITS - place_bits):
+        raise ValueError(f"{len(number)} files of up to {size} bytes have more places than {ROW_BITS} bits can number")
+    files = spark.createDataFrame(list(number.items()), "_path string, _file long")  # one row per file
+    files = F.broadcast(files) if len(number) <= BROADCAST_FILES else files
     names = [c for c in out.columns if c not in (CORRUPT, "_path", "_start", "_at")]
-    numbered = out.join(F.broadcast(files), "_path")  # one row per file
-    return numbered.select(*[F.col(q(c)) for c in names], (F.shiftleft("_file", PLACE_BITS) + place).alias(ROW_ID))
+    numbered = out.join(files, "_path")
+    return numbered.select(*[F.col(q(c)) for c in names], (F.shiftleft("_file", place_bits) + F.col("_start") * 2 + F.col("_at")).alias(ROW_ID))
 
 
 def malformed_records(spark: SparkSession, file: str, multiline: bool | None = None) -> DataFrame:
     """`file` and `record` of every record that has too few or too many fields; readers keep such records, with nulls for what is missing."""
-    out, _ = _read_parts(spark, file, multiline)
+    out, _, _ = _read_parts(spark, file, multiline)
     if out is None:
         return spark.createDataFrame([], "file string, record string")
     # written first: the parser counts the fields only where all columns are read
