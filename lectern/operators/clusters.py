@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Sequence
 
@@ -109,33 +108,69 @@ def _distance2(a: Sequence[Column], b: Sequence[Column]) -> Column:
     return out
 
 
-#: Axes along which neighbouring cells are looked up; cells farther away along another axis are filtered out.
-AXES = 3
+#: Cells around a cell along the joined axes at most, and coordinates of an axis up to which neighbours are picked from a list.
+AROUND, FEW = 1500, 64
 
 
 def _reach(dims: int) -> int:
     return math.ceil(math.sqrt(dims))
 
 
-def _with_neighbours(df: DataFrame, cells: list[str]) -> DataFrame:
-    """One row per cell around along the first axes (itself included), as `n_<cell>` columns."""
-    steps = range(-_reach(len(cells)), _reach(len(cells)) + 1)
-    axes = cells[:AXES]
-    moves = F.array(
-        *[F.struct(*[F.lit(o).alias(f"o{i}") for i, o in enumerate(move)]) for move in itertools.product(steps, repeat=len(axes))]
-    )
-    wide = df.withColumn("_move", F.explode(moves))
-    return wide.withColumns({f"n_{c}": F.col(c) + F.col(f"_move.o{i}") for i, c in enumerate(axes)}).drop("_move")
-
+def _axes(spots: DataFrame, cells: list[str]) -> dict[str, list[int] | None]:
+    """The axes along which neighbouring cells are joined, with their coordinates if these are few.
 
-def _other_axes_near(cells: list[str], mine: str) -> Column:
-    """Along the axes after the first, the cells are near enough; `mine` is the prefix of one side's columns."""
+    Axes are chosen by the data: first those whose occupied coordinates are too far apart to be neighbours (a flag, a code),
+    which are joined for equality, then those with the most coordinates for the neighbours they cost, as long as a cell has
+    no more than AROUND cells around. Constant axes tell nothing and are left out; axes not chosen are filtered.
+    """
+    reach = _reach(len(cells))
+    long = spots.select(F.inline(F.array(*[F.struct(F.lit(i).alias("axis"), F.col(c).alias("at")) for i, c in enumerate(cells)]))).distinct()
+    long = cut_lineage(long)
+    counts = {r["axis"]: r["count"] for r in long.groupBy("axis").count().collect()}  # one row per axis
+    few = [i for i, n in counts.items() if 1 < n <= FEW]
+    values: dict[int, list[int]] = {i: [] for i in few}
+    for r in long.where(F.col("axis").isin(few)).collect() if few else []:  # FEW rows per axis at most
+        values[r["axis"]].append(r["at"])
+    cost = {i: 2 * reach + 1 for i, n in counts.items() if n > FEW}
+    for i in few:
+        values[i].sort()
+        cost[i] = max(sum(abs(v - w) <= reach for w in values[i]) for v in values[i])
+    chosen, around = {}, 1
+    for i in sorted(cost, key=lambda i: (cost[i] > 1, -counts[i] / cost[i], i)):
+        if around * cost[i] <= AROUND:
+            around *= cost[i]
+            chosen[cells[i]] = values.get(i)
+    return chosen or {cells[0]: None}
+
+
+def _with_neighbours(df: DataFrame, axes: dict[str, list[int] | None], reach: int) -> DataFrame:
+    """One row per cell around along the joined axes (itself included), as `n_<cell>` columns."""
+    for c, values in axes.items():
+        if values is None:
+            near = F.sequence(F.col(c) - reach, F.col(c) + reach)
+        else:
+            near = F.filter(F.array(*[F.lit(v).cast("long") for v in values]), lambda v: F.abs(v - F.col(c)) <= reach)  # noqa: B023 - called at once
+        df = df.withColumn(f"n_{c}", F.explode(near))
+    return df
+
+
+def _other_axes_near(cells: list[str], axes: dict[str, list[int] | None], mine: str) -> Column:
+    """Along the axes that are not joined, the cells are near enough; `mine` is the prefix of one side's columns."""
     near = F.lit(True)
-    for c in cells[AXES:]:
-        near = near & (F.abs(F.col(f"{mine}{c}") - F.col(c)) <= _reach(len(cells)))
+    for c in cells:
+        if c not in axes:
+            near = near & (F.abs(F.col(f"{mine}{c}") - F.col(c)) <= _reach(len(cells)))
     return near
 
 
+def _cell_pairs(left: DataFrame, right: DataFrame, cells: list[str], axes: dict[str, list[int] | None], keep: Sequence[Column]) -> DataFrame:
+    """Rows of `left` (the `keep` columns) with the rows of `right` whose cells can hold points within reach."""
+    moved = _with_neighbours(left, axes, _reach(len(cells))).select(
+        *keep, *[F.col(f"n_{c}").alias(c) for c in axes], *[F.col(c).alias(f"m_{c}") for c in cells if c not in axes]
+    )
+    return moved.join(right, list(axes)).where(_other_axes_near(cells, axes, "m_"))
+
+
 def dbscan(
     df: DataFrame, columns: Sequence[str], key: str, eps: float = 0.5, min_samples: int = 5
 ) -> DataFrame:
@@ -159,15 +194,11 @@ def dbscan(
     spots = cut_lineage(spots.join(sizes, cells))
     dense = F.col("_cell_w") >= min_samples
 
-    around = _with_neighbours(spots.where(~dense).select("_id", *columns, *cells), cells)
-    axes = cells[:AXES]
-    around = around.select(
-        "_id", *[F.col(c).alias(f"p_{c}") for c in columns], *[F.col(f"n_{c}").alias(c) for c in axes],
-        *[F.col(c).alias(f"m_{c}") for c in cells[AXES:]],
-    )
-    near = around.join(spots.select(*columns, *cells, "_w", F.col("_id").alias("_other")), axes).where(_other_axes_near(cells, "m_")).where(
-        _distance2([F.col(f"p_{c}") for c in columns], [F.col(q(c)) for c in columns]) <= eps * eps
-    )
+    axes = _axes(spots, cells)
+    near = _cell_pairs(
+        spots.where(~dense), spots.select(*columns, *cells, "_w", F.col("_id").alias("_other")), cells, axes,
+        ["_id", *[F.col(q(c)).alias(f"p_{c}") for c in columns]],
+    ).where(_distance2([F.col(q(f"p_{c}")) for c in columns], [F.col(q(c)) for c in columns]) <= eps * eps)
     counted = near.groupBy("_id").agg(F.sum("_w").alias("_near"))
     core = spots.join(counted, "_id", "left").withColumn(
         "_core", dense | (F.coalesce("_near", F.lit(0)) >= min_samples)
@@ -176,7 +207,7 @@ def dbscan(
 
     nodes = core.where("_core").groupBy(*cells).agg(F.min("_id").alias("_node"))
     nodes = cut_lineage(nodes)
-    edges = _cell_edges(core.where("_core"), nodes, columns, cells, side, eps)
+    edges = _cell_edges(core.where("_core"), nodes, columns, cells, axes, side, eps)
     labels = _components(nodes.select("_node"), edges)
     named = nodes.join(labels, "_node").select(*cells, "_label")
 
@@ -231,16 +262,12 @@ def _boxes(core: DataFrame, columns: Sequence[str], cells: list[str], side: floa
 
 
 def _cell_edges(
-    core: DataFrame, nodes: DataFrame, columns: Sequence[str], cells: list[str], side: float, eps: float
+    core: DataFrame, nodes: DataFrame, columns: Sequence[str], cells: list[str], axes: dict[str, list[int] | None], side: float, eps: float
 ) -> DataFrame:
     """Pairs of cells with core points near each other."""
     dims = range(len(columns))
     core = cut_lineage(core.join(nodes, cells).select("_id", "_node", *columns, *cells))
-    shifted = _with_neighbours(nodes, cells).select(
-        F.col("_node").alias("a"), *[F.col(f"n_{c}").alias(c) for c in cells[:AXES]], *[F.col(c).alias(f"m_{c}") for c in cells[AXES:]]
-    )
-    pairs = shifted.join(nodes.withColumnRenamed("_node", "b"), cells[:AXES]).where((F.col("a") < F.col("b")) & _other_axes_near(cells, "m_"))
-    pairs = pairs.select("a", "b")
+    pairs = _cell_pairs(nodes, nodes.withColumnRenamed("_node", "b"), cells, axes, [F.col("_node").alias("a")]).where("a < b").select("a", "b")
     todo = pairs.select("a", "b", *[F.lit(0).cast("long").alias(f"{s}{i}") for s in "ab" for i in dims])
     edges = nodes.select(F.col("_node").alias("a"), F.col("_node").alias("b")).limit(0)
     level = 0

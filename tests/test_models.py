@@ -118,6 +118,32 @@ def test_dbscan_in_five_columns(spark):
     assert got.tolist() == plain_dbscan(points, 0.8, 5).tolist()
 
 
+def test_dbscan_beyond_constant_and_binary_columns(spark):
+    """The first columns do not tell cells apart, so the others must: few cells meet, and the result is the plain one."""
+    rng = np.random.default_rng(21)
+    n = 300
+    points = np.column_stack([
+        np.zeros((n, 3)), rng.integers(0, 2, (n, 3)) * 7.0, rng.integers(0, 5, n) * 0.4, rng.uniform(0, 60, n), np.full(n, -0.0), rng.uniform(0, 60, n),
+    ])
+    points[:120, 7:] = np.repeat(rng.uniform(0, 60, (12, 3)), 10, 0) + rng.normal(0, 0.2, (120, 3))
+    points[:120, 3:7] = np.repeat(points[:12, 3:7], 10, 0)
+    columns = [f"x{i}" for i in range(points.shape[1])]
+    df = spark.createDataFrame(pd.DataFrame({"id": range(n), **{c: points[:, i] for i, c in enumerate(columns)}})).repartition(3)
+    got = clusters.dbscan(df, columns, "id", 1.5, 4).toPandas().sort_values("id")["cluster"]
+    assert got.tolist() == plain_dbscan(points, 1.5, 4).tolist() and got.max() > 3
+    side = 1.5 / np.sqrt(len(columns))
+    places = np.unique(np.floor(points / side).astype(int), axis=0)
+    cells = [f"_c{i}" for i in range(len(columns))]
+    nodes = spark.createDataFrame(pd.DataFrame({c: places[:, i] for i, c in enumerate(cells)}).assign(_node=range(len(places))))
+    axes = clusters._axes(nodes, cells)
+    assert not {"_c0", "_c1", "_c2"} & set(axes) and {"_c3", "_c4", "_c5"} <= set(axes)
+    moved = clusters._with_neighbours(nodes, axes, clusters._reach(len(cells)))
+    met = moved.select(*[F.col(f"n_{c}").alias(c) for c in axes]).join(nodes, list(axes)).count()
+    near = (np.abs(places[:, None] - places[None]).max(-1) <= clusters._reach(len(cells))).sum()
+    assert near <= met <= 3 * near < len(places) ** 2 / 20
+    assert clusters._cell_pairs(nodes, nodes.withColumnRenamed("_node", "b"), cells, axes, [F.col("_node").alias("a")]).count() == near
+
+
 def test_labels_of_any_kind(planted):
     grades = planted.withColumn("grade", F.when(F.col("a") > 0.5, "A").when(F.col("a") > -0.5, "B").otherwise("C"))
     out = models.classification(grades, "grade", "id", ["a", "b"], "logistic", cv_folds=2)
