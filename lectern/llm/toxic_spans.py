@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lectern.llm.line_crf import held_out
 
 #: Labelled documents of either label that the tagger is fitted on: the first by a hash of their id.
-TRAIN_DOCUMENTS = 2000
+TRAIN_DOCUMENTS = 1500
 #: A longer labelled text takes no part in fitting (it is scored whole), so that the driver's share is bounded.
 TRAIN_CHARS = 20_000
 THRESHOLD = 0.5
@@ -236,15 +236,15 @@ def fit_tagger(texts: list[str], labels: list[int], weights: list[float] | None
     tokens = [words.tokens(t) for t in texts]
     count = np.array([len(t) for t in tokens], dtype=np.int64)
     word = np.concatenate(tokens)
-    owner = np.repeat(np.arange(len(texts)), count)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), count)
     shape, vocabulary = np.array(words.shapes), len(words.shapes)
     found, starts = np.array(words.found), np.array(words.starts)
     fan = np.diff(starts)
-    # the documents of every feature, from the distinct words of every document
-    pair = np.unique(owner * vocabulary + word)
-    size = fan[pair % vocabulary]
-    which = found[np.arange(size.sum()) + np.repeat(starts[pair % vocabulary] - (np.cumsum(size) - size), size)]
-    support = np.bincount(np.unique(np.repeat(pair // vocabulary, size) * FEATURES + which) % FEATURES, minlength=FEATURES)
+    support = np.zeros(FEATURES, dtype=np.int64)
+    for part in tokens:
+        mine = np.unique(part)
+        of = np.repeat(starts[mine] - np.r_[0, np.cumsum(fan[mine])[:-1]], fan[mine]) if len(mine) else mine
+        support[np.unique(found[np.arange(len(of)) + of])] += 1
     keep = np.flatnonzero(support >= SUPPORT)
     place = np.full(FEATURES, -1)
     place[keep] = np.arange(len(keep))
