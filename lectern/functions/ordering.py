@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +32,7 @@ def _bounds(df: DataFrame, values: Sequence[Column], buckets: int) -> DataFrame:
     Bounds never change a result, only how evenly the work is cut. No task gets a sketch of every input split: MERGERS tasks
     merge those of their splits, and the last one sees their marks only.
     """
-    marks = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    marks = F.lit(np.arange(1, buckets) / buckets)
     sketch = lambda c: F.percentile_approx(c, marks, 20 * buckets)
     named = df.select(*[v.alias(f"_v{i}") for i, v in enumerate(values)], (F.spark_partition_id() % MERGERS).alias("_m"))
     first = named.groupBy("_m").agg(*[sketch(F.col(f"_v{i}")).alias(f"_b{i}") for i in range(len(values))])
@@ -57,16 +58,30 @@ def _leaves(column: Column, kind: T.DataType) -> list[tuple[Column, T.DataType]]
     return [(column, kind)]
 
 
-#: Ordering columns that a bucket number can hold in 64 bits; rows that agree on all of them stay in one piece.
-LEAVES = 4
+#: A text is ordered by this many numbers of six bytes each; texts that agree in all of them stay in one piece.
+TEXT_PARTS, TEXT_BYTES = 4, 6
+
+
+def _text_parts(text: Column) -> list[Column]:
+    """Numbers that never decrease along the order of texts, which is that of their UTF-8 bytes."""
+    raw = text.cast("binary")
+    part = lambda i: F.rpad(F.substring(raw, 1 + TEXT_BYTES * i, TEXT_BYTES), TEXT_BYTES, F.lit(b"\0"))
+    return [F.conv(F.hex(part(i)), 16, 10).cast("double") for i in range(TEXT_PARTS)]
 
 
 def order_leaves(df: DataFrame, order_by: Sequence[str]) -> list[Column]:
-    """The leading numeric and time columns of an ordering, LEAVES at most, as doubles; struct fields count one by one."""
+    """The leading columns of an ordering as doubles, by which it can be cut; struct fields count one by one.
+
+    Numbers, times, booleans, texts and binaries can lead. A text is cut by its first bytes, so nothing after it is used.
+    """
     times = (T.TimestampType, T.TimestampNTZType, T.DateType)
     out: list[Column] = []
-    for column, kind in [x for c in order_by for x in _leaves(F.col(q(c)), df.schema[c].dataType)][:LEAVES]:
-        if not isinstance(kind, (T.NumericType, *times)):
+    for column, kind in [x for c in order_by for x in _leaves(F.col(q(c)), df.schema[c].dataType)]:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return out + _text_parts(column)
+        if isinstance(kind, T.BooleanType):
+            column = column.cast("int")
+        elif not isinstance(kind, (T.NumericType, *times)):
             break
         out.append((column.cast("timestamp") if isinstance(kind, times) else column).cast("double"))
     return out
@@ -75,26 +90,27 @@ def order_leaves(df: DataFrame, order_by: Sequence[str]) -> list[Column]:
 def with_order_bucket(
     df: DataFrame, order_by: Sequence[str], out: str = "_seg", seen: Column | None = None
 ) -> DataFrame:
-    """Add a bucket number that never decreases along `order_by`.
+    """Add a bucket that never decreases along `order_by`: a number, or a struct of numbers if several columns order the rows.
 
     A value that equals a bound may be very frequent, so its rows are cut again by the
     next ordering column. Nulls come first. `seen` limits the rows the bounds are taken from.
     """
     leaves = order_leaves(df, order_by)
     if not leaves:
-        raise ValueError(f"ordering must start with a numeric or time column: {list(order_by)}")
+        raise ValueError(f"ordering must start with a number, time, boolean, text or binary: {list(order_by)}")
     n = bucket_count(df.sparkSession)
     sampled = leaves if seen is None else [F.when(seen, leaf) for leaf in leaves]
     stats = _bounds(df, sampled, n)
     stats = stats.select("*", *[_coarse(f"_b{i}", n).alias(f"_c{i}") for i in range(len(leaves))])
     # one row, a fixed number of array elements
     wide = df.crossJoin(F.broadcast(stats))
-    seg, tied = F.lit(0).cast("long"), F.lit(True)
+    places, tied = [], F.lit(True)
     for i, leaf in enumerate(leaves):
         bucket = F.coalesce(_bucket(leaf, f"_b{i}", f"_c{i}", n), F.lit(-1))
-        seg = seg * (n + 2) + F.when(tied, bucket + 1).otherwise(0)
+        places.append(F.when(tied, bucket).otherwise(-1).cast("int"))
         tied = tied & F.coalesce(F.get(F.col(f"_b{i}"), bucket) == leaf, F.lit(False))
-    return wide.withColumn(out, seg).drop(*[f"_{k}{i}" for k in "bc" for i in range(len(leaves))])
+    found = places[0] if len(places) == 1 else F.struct(*[p.alias(f"b{i}") for i, p in enumerate(places)])
+    return wide.withColumn(out, found).drop(*[f"_{k}{i}" for k in "bc" for i in range(len(leaves))])
 
 
 def value_counts(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:

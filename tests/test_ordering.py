@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import ordering
 from lectern.functions.ordering import exact_quantiles, ordered_window, prefix_counts, value_counts
 
 RNG = np.random.default_rng(5)
@@ -66,3 +67,35 @@ def test_ordered_window(skewed, expected, parts):
     ).sort_values("id", ignore_index=True)
     for c in ("rn", "prev", "top"):
         assert np.allclose(got[c].astype(float), want[c].astype(float), equal_nan=True), c
+
+
+def test_any_number_of_buckets(spark, skewed, monkeypatch):
+    """Twenty thousand buckets along each of five columns: their product needs more than 64 bits, a struct does not."""
+    monkeypatch.setattr(ordering, "bucket_count", lambda _: 20_000)
+    df = skewed[1].limit(100).coalesce(1).select("key", "when", (F.col("id") % 3).alias("a"), (F.col("id") % 2 == 0).alias("b"), F.col("value"), "id")
+    got = ordered_window(df, ["key"], ["when", "a", "b", "value", "id"], row_number="rn").toPandas()
+    got["value"] = got["value"].fillna(-np.inf)
+    want = got.sort_values(["when", "a", "b", "value", "id"])
+    assert (want.groupby("key").cumcount() + 1 == want["rn"]).all()
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_text_orderings_are_cut(spark, parts):
+    rng = np.random.default_rng(9)
+    words = [None, "", "a", "a\0", "é", "日本", "z" * 30, "z" * 30 + "b", "prefix-of-many-texts-1", "prefix-of-many-texts-2"]
+    words += ["".join(rng.choice(list("abcß日"), rng.integers(1, 9))) for _ in range(300)]
+    rows = [("hot" if i % 3 else "k", words[int(j)], i) for i, j in enumerate(rng.integers(0, len(words), 900))]
+    df = spark.createDataFrame(rows, "key string, word string, id long").repartition(parts)
+    cut = [(r["word"], tuple(r["_seg"])) for r in ordering.with_order_bucket(df, ["word"]).collect()]
+    assert len({place for _, place in cut}) > 5
+    seg = {}
+    for word, place in cut:
+        assert seg.setdefault(word, place) == place
+    along = sorted(seg, key=lambda w: b"" if w is None else b"\1" + w.encode())
+    assert [seg[w] for w in along] == sorted(seg.values())
+    got = ordered_window(df, ["key"], ["word", "id"], row_number="rn", lag={"prev": "word"}).collect()
+    for key in ("hot", "k"):
+        mine = sorted((r for r in got if r.key == key), key=lambda r: (b"" if r.word is None else b"\1" + r.word.encode(), r.id))
+        assert [r.rn for r in mine] == list(range(1, len(mine) + 1)) and [r.prev for r in mine] == [None, *[r.word for r in mine[:-1]]]
+    with pytest.raises(ValueError, match="must start with"):
+        ordering.with_order_bucket(df.withColumn("m", F.array("word")), ["m"])
