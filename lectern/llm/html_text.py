@@ -31,7 +31,9 @@ STEPS, RATE, PENALTY = 200, 0.3, 1e-4
 # HTML elements by their role, and words that name the role of a block in its class or id.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style textarea title xmp iframe noembed noframes noscript template svg math object audio video canvas select datalist".split())
+HIDDEN = frozenset(
+    "head script style textarea title xmp iframe noembed noframes noscript template svg object audio video canvas select datalist button annotation annotation-xml".split()
+)
 HEAD_TAGS = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split()
@@ -39,6 +41,7 @@ INLINE = frozenset(
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
+BLOCK = CLOSES_P | frozenset("html head body li dt dd tr td th thead tbody tfoot caption colgroup option optgroup legend summary frameset listing plaintext search".split())
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 FRAME_TAGS = frozenset("nav footer aside header form button menu dialog fieldset".split())
 MAIN_TAGS = frozenset(["article", "main"])
@@ -104,7 +107,7 @@ def hides(attributes: str) -> bool:
 
 
 def parse(source: str) -> Page:
-    """The tree of block elements and runs of text. Unclosed and misnested tags are closed as browsers do; anything unknown is a block."""
+    """The tree of block elements and runs of text. Unclosed and misnested tags are closed as browsers do; an element that is no known block runs in its text."""
     page = Page()
     stack: list[tuple[str, int]] = [("", page.add(-1, "root"))]
     buffer: list[str] = []
@@ -174,14 +177,14 @@ def parse(source: str) -> Page:
         tag, end = name[1].lower(), _tag_end(source, name.end())
         at = end + 1
         if closing:
-            if tag in INLINE:  # never closes a block
+            if tag not in BLOCK:  # never closes a block
                 depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag or stack[i][1] >= 0), 0)
             else:
                 depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if depth and stack[depth][0] == tag:
                 while len(stack) > depth:
                     pop()
-            elif tag not in INLINE and not hidden:
+            elif tag in BLOCK and not hidden:
                 flush()
             continue
         attributes = source[name.end() : end]
@@ -206,13 +209,11 @@ def parse(source: str) -> Page:
             continue
         if attributes.endswith("/") and tag not in INLINE and tag not in CLOSES_P:
             continue
-        if hidden or tag in HIDDEN or hides(attributes):
-            if tag not in INLINE:
-                flush()
+        if hidden or tag in HIDDEN or hides(attributes):  # what is not shown does not end a block either
             stack.append((tag, -2))
             hidden += 1
             continue
-        if tag in INLINE:
+        if tag not in BLOCK:
             stack.append((tag, -1))
             in_link += tag == "a"
             continue

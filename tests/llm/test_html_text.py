@@ -90,3 +90,18 @@ def test_only_hiding_attributes_hide():
         assert hides(hidden), hidden
     page = parse('<article class="post hidden lg:block"><p>one <a title="the hidden truth" href=x>two</a><section data-title="A hidden cost"><p>three</section><p hidden>four</article>')
     assert [t for t in page.text if t] == ["one two", "three"]
+
+
+@pytest.mark.parametrize(("page", "blocks"), [
+    ("<p>Read the <a>guide <svg><title>x</title><path d='M1'/></svg></a> before you start.</p>", ["Read the guide before you start."]),
+    ("<p>one <custom-icon></custom-icon>two <button>Buy</button>three</p>", ["one two three"]),
+    ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='tex'>x=2</annotation></math> hold.</p>", ["Let x=2 hold."]),
+    ("<p>a <select><option>1<option>2</select>b <video src=v>no video</video>c <canvas>no</canvas>d</p>", ["a b c d"]),
+    ("<p>at <output>3</output> of <meter>4</meter> <picture><source><img></picture>done</p>", ["at 3 of 4 done"]),
+    ("<div>one <div hidden>x</div>two<noscript>y</noscript> three<template><p>z</p></template></div>", ["one two three"]),
+    ("<div>one <object><p>x</p></object>two</div><div>three</div>", ["one two", "three"]),
+    ("<ul><li>a<li>b <x-y>c</x-y></ul><table><caption>d<tr><td>e<td>f</table>", ["a", "b c", "d", "e", "f"]),
+    ("<my-card><p>one</p></my-card><p>two</p></my-card>three", ["one", "two", "three"]),
+])
+def test_what_ends_a_block(page, blocks):
+    assert [t for t in parse(page).text if t] == blocks
