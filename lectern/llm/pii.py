@@ -44,15 +44,19 @@ GIVEN = {
 TITLES = ["Mr", "Mrs", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Mlle", "Señor", "Señora", "Господин", "Госпожа"]
 
 POOL_OF = {name: pool for pool, names in GIVEN.items() for name in names}
+SHOUTED_NAMES = {name.upper(): name for name in POOL_OF}
 WORD = r"[^\W\d_]"
 NUMERIC = re.compile(
     r"""(?P<email>(?u:(?<![\w.%+-])\w[\w.%+-]{0,63})@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24})
     |(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d))
+    |(?P<ipv6>(?<![\w:.])(?=[0-9a-fA-F:]{0,32}\d)(?:[0-9a-fA-F]{1,4}:|:(?=:)){1,7}(?::[0-9a-fA-F]{1,4}|:|[0-9a-fA-F]{1,4})(?::?[0-9a-fA-F]{1,4}){0,6}(?![\w:]))
+    |(?P<key>(?<![\w])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![\w]))
     |(?P<secret>(?<![\w])(?=[0-9a-fA-F]{0,63}[a-fA-F])(?=[0-9a-fA-F]{0,63}\d)(?:[0-9a-fA-F]{64}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32})(?![\w]))
     |(?P<iban>(?<![\w])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![\w]))
     |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
     |(?P<card>(?<![\w])(?:\d{4}[ -]){3}\d{4}(?![\w])|(?<![\w+])\d{13,19}(?![\w]))
     |(?P<phone>(?<![\w])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}(?![\w])
+       |(?<![\w+.-])0\d{1,4}(?P<gap>[ .-])\d{2,4}(?:(?P=gap)\d{2,4}){1,4}(?![\w]|[.-]\d)
        |(?<![\w])\(\d{3}\)[ ]?\d{3}[ .-]\d{4}(?![\w])|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))""",
     re.VERBOSE | re.ASCII,
 )
@@ -64,12 +68,20 @@ OTHER = re.compile(
 )
 NANP = re.compile(r"\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w|[.-]\d)", re.ASCII)
 LEAST_DIGITS, MOST_DIGITS = 7, 15
+#: Digits of a national number with its leading 0; fewer are dates.
+NATIONAL = range(9, 12)
+# What is assigned to a name that says it is secret, if it has letters and digits.
+ASSIGNED = re.compile(
+    r"""(?i:(?<![a-z])(?:token|password|passwd|secret|api[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?)((?=[^\s"']{0,255}\d)(?=[^\s"']{0,255}[a-zA-Z])[\w+/=.~-]{8,256})(?![\w+/=~-])""", re.ASCII
+)
 UPPER = "[" + "".join(c for c in map(chr, range(0x10000)) if c.isupper() and c.isalpha()) + "]"
 # What is no part of a name although it is capitalised: titles, suffixes and the labels of other entities.
 NO_NAME = rf"(?!(?:{'|'.join(TITLES)}|Jr|Sr|II|III|IV|IBAN|SSN|IP|ID|PIN|TOKEN|E-?[Mm]ail|Mail|Tel|Phone)(?!\w))"
 PART = rf"{NO_NAME}{UPPER}(?:{WORD}+|(?=['’]{UPPER}))(?:['’-]{UPPER}{WORD}*)*(?!\w)"
 INITIAL = rf"{UPPER}\."
 PARTICLE = r"(?:(?:van|von|de|del|di|da|du|dos)[ ](?:(?:der|den|dem|la|las|los)[ ])?|d['’])"
+# A given name in capitals, which is one only if a single capitalised surname follows: in a text in capitals it tells nothing.
+SHOUTED = re.compile(rf"(?<!\w)(?<![^\W\d_a-z][^\w\n])(?:{'|'.join(n.upper() for n in POOL_OF)})[ ]{UPPER}{{2,}}(?:[-'’]{UPPER}{{2,}})?(?!\w)(?![ ]{UPPER}+(?!{WORD}))")
 PERSON = re.compile(
     rf"\b(?:(?:{'|'.join(TITLES)})\.?|(?:{'|'.join(POOL_OF)})(?:-{UPPER}{WORD}*)*(?!\w))[ ]"
     rf"(?:{INITIAL}[ -]?|{UPPER}[ ]|{PARTICLE}|{PART}[ ])*(?:{PART}|{INITIAL})"
@@ -146,6 +158,26 @@ def _address(key: bytes, text: str) -> str:
             return str(ipaddress.IPv4Address(n))
 
 
+def _ipv6_kind(text: str) -> tuple[bool, bool, bool] | None:
+    try:
+        n = ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    return n.is_private, n.is_global, n.is_multicast
+
+
+def _ipv6(key: bytes, text: str) -> str:
+    """The first group, which tells the kind of network, stays; hexadecimal digits are permuted in the groups after it."""
+    first, colon, rest = text.partition(":")
+    same = _ipv6_kind(text)
+    return first + colon + permuted(key, f"ipv6 {first.lower()} {same}", rest, HEX, lambda s: _ipv6_kind(first + colon + s) == same)
+
+
+def _key(key: bytes, text: str) -> str:
+    known = re.match(r"AKIA|gh[pousr]_|", text)[0]
+    return known + permuted(key, "key " + known, text[len(known) :])
+
+
 def _email(key: bytes, text: str) -> str:
     """Local part and domain are permuted; the top-level domain and the reserved example domains stay."""
     local, _, domain = text.rpartition("@")
@@ -164,6 +196,8 @@ def _pool(key: bytes, pool: str) -> dict[str, str]:
 
 
 def given_name(key: bytes, name: str) -> str:
+    if name not in POOL_OF and SHOUTED_NAMES.get(name):
+        return given_name(key, SHOUTED_NAMES[name]).upper()
     if name in POOL_OF:
         return _pool(key, POOL_OF[name])[name]
     return permuted(key, "given", name, SOUNDS, lambda s: s not in POOL_OF)
@@ -176,11 +210,13 @@ def surname(key: bytes, name: str) -> str:
 REPLACE: dict[str, Callable[[bytes, str], str]] = {
     "email": _email,
     "ip": _address,
+    "ipv6": _ipv6,
+    "key": _key,
     "secret": lambda key, s: permuted(key, "secret", s, HEX),
     "iban": _iban,
     "ssn": lambda key, s: permuted(key, "ssn", s, ("0123456789",)),
     "card": _card,
-    "phone": lambda key, s: (m := re.match(r"\+\d{1,3}(?=[ .(-])|", s)[0]) + permuted(key, "phone" + m, s[len(m) :], ("0123456789",)),
+    "phone": lambda key, s: (m := re.match(r"\+\d{1,3}(?=[ .(-])|0|", s)[0]) + permuted(key, "phone" + m, s[len(m) :], ("0123456789",)),
 }
 
 
@@ -216,9 +252,13 @@ def _numeric(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, kind) of all that NUMERIC finds, with phone numbers ended where they end."""
     at = 0
     while m := NUMERIC.search(text, at):
-        kind, (start, at) = m.lastgroup, m.span()
+        kind, (start, at) = next(k for k in REPLACE if m[k]), m.span()
         if kind == "phone" and m[0][0] == "+":
             at = _phone_end(text, start, at)
+        elif kind == "phone" and m[0][0] == "0" and len(_only(m[0])) not in NATIONAL or kind == "ipv6" and not _ipv6_kind(m[0]):
+            at = start
+        elif kind == "card" and m[0].isdigit() and not luhn(m[0]):
+            continue  # a number of that length is a card only if its check digit says so
         if at > start:
             yield start, at, kind
         else:
@@ -231,10 +271,20 @@ def entities(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     if re.search(r"[0-9@]", text):
         for start, end, kind in _numeric(text):
             found.append((start, end, kind, REPLACE[kind](key, text[start:end])))
-    for m in PERSON.finditer(text):
+        for m in ASSIGNED.finditer(text):
+            found.append((*m.span(1), "secret", REPLACE["secret"](key, m[1]) if NUMERIC.fullmatch(m[1]) else _key(key, m[1])))
+    names: set[str] = set()
+    for m in [*PERSON.finditer(text), *SHOUTED.finditer(text)]:
         title = TITLE.match(m[0])
         for w in NAME_WORD.finditer(text, m.start() + (title.end() if title else 0), m.end()):
-            found.append((*w.span(), "person", (given_name if w[0] in POOL_OF else surname)(key, w[0])))
+            given = w[0] in POOL_OF or w[0] in SHOUTED_NAMES and w.start() == m.start()
+            found.append((*w.span(), "person", (given_name if given else surname)(key, w[0])))
+            if not given and len(w[0]) > 1:
+                names |= {w[0], w[0].upper(), w[0].capitalize()}
+    # A surname that the text has told, wherever it stands alone; a given name alone tells nobody.
+    again = "|".join(re.escape(n) for n in sorted(names))
+    for m in re.finditer(rf"(?<!\w)(?:{again})(?!\w)", text) if again else ():
+        found.append((*m.span(), "person", surname(key, m[0])))
     out: list[tuple[int, int, str, str]] = []
     for e in sorted(found):
         if not out or e[0] >= out[-1][1]:
@@ -273,9 +323,12 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     repeated rows get equal results; an empty table gives no rows.
     """
     names = [c for c in docs.columns if c not in ("n_entities", "kinds")]
-    done = docs.select(*[F.col(f"`{c}`") for c in names], _rewrite(key.encode())(F.col(text)).alias("__surrogate"))
+    new = "_surrogate"
+    while new in names:
+        new += "_"
+    done = docs.select(*[F.col(f"`{c}`") for c in names], _rewrite(key.encode())(F.col(f"`{text}`")).alias(new))
     return done.select(
-        *[F.col("__surrogate.text").alias(c) if c == text else F.col(f"`{c}`") for c in names], "__surrogate.n_entities", "__surrogate.kinds"
+        *[F.col(f"{new}.text").alias(c) if c == text else F.col(f"`{c}`") for c in names], f"{new}.n_entities", f"{new}.kinds"
     )
 
 
