@@ -66,6 +66,25 @@ def _sources(r: Registry) -> None:
     sql = with_tables("ca", COUNTS)
     r.add("src_1_csv_scan", lambda t: _counts(readers.read_csv(t.spark, _course_file(t))), sql)
 
+    def over_lines(t: Tables) -> DataFrame:
+        """Texts with line ends, quotes and commas of their own, written as fields."""
+        texts = t.raw("documents").select("doc_id", "lang", "text")
+        path = f"{scratch_folder(t.spark)}/texts.csv"
+        keep = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        texts.write.options(**keep).csv(path)
+        back = readers.read_csv_any_encoding(t.spark, path)
+        return back.groupBy("lang").agg(
+            F.count("doc_id").alias("n"), F.sum(F.length("text")).alias("chars"),
+            F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n")))).alias("line_ends"),
+        )
+
+    r.add(
+        "src_1_records_over_lines",
+        over_lines,
+        """SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars,
+            CAST(sum(length(text) - length(replace(text, chr(10), ''))) AS BIGINT) AS line_ends FROM documents GROUP BY 1""",
+    )
+
     def latin(t: Tables) -> DataFrame:
         text = t.raw("customer").select(F.col("c_custkey").cast("string").alias("id"), F.concat("c_mktsegment", F.lit("-Université")).alias("unit"))
         file = _written(text, scratch_folder(t.spark), "units.csv", "ISO-8859-1")

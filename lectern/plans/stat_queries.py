@@ -233,6 +233,27 @@ STUDENT_INPUTS = ["engagement_score", "session_frequency", "video_completion_pct
 CLUSTER_INPUTS = ["hours_component", "recency_component", "std_hours"]
 
 
+def _dbscan_sql(eps: float, least: int) -> str:
+    """Density clusters by all pairs of learners: core points reach others through core points, and a cluster is named by its smallest core."""
+    scaled = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS x{i}" for i, c in enumerate(CLUSTER_INPUTS))
+    square = " + ".join(f"(p.x{i} - o.x{i}) ** 2" for i in range(len(CLUSTER_INPUTS)))
+    body = """SELECT id, CAST(coalesce(c, -1) AS INT) AS cluster FROM spots LEFT JOIN (
+            SELECT i, min(c) AS c FROM (SELECT i, j FROM near WHERE i NOT IN (SELECT i FROM core) UNION ALL SELECT i, i FROM core)
+                JOIN named ON named.id = j GROUP BY i) ON i = id"""
+    return with_tables(
+        "ca eng",
+        body,
+        hours="SELECT email, coalesce(stddev_samp(learning_hours), 0) AS std_hours FROM ca GROUP BY email",
+        spots=f"SELECT CAST(email AS BIGINT) AS id, {scaled} FROM hours JOIN eng USING (email)",
+        near=f"SELECT p.id AS i, o.id AS j FROM spots p JOIN spots o ON {square} <= {eps} * {eps}",
+        core=f"SELECT i FROM near GROUP BY i HAVING count(*) >= {least}",
+        links="SELECT i, j FROM near WHERE i IN (SELECT i FROM core) AND j IN (SELECT i FROM core)",
+        # a cluster's smallest core reaches all of it through larger ones
+        reach="SELECT i AS id, i AS root FROM core UNION SELECT j, root FROM reach JOIN links ON links.i = reach.id WHERE j > root",
+        named="SELECT id, dense_rank() OVER (ORDER BY min(root)) - 1 AS c FROM reach GROUP BY id",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _models(r: Registry) -> None:
     r.add(
         "ml_1_prepared_data",
@@ -284,6 +305,7 @@ def _models(r: Registry) -> None:
         lambda t: clusters.clustering(
             _matrix(t).withColumn("id", F.col("email").cast("long")), CLUSTER_INPUTS, "id", "dbscan", eps=0.25
         )["labels"],
+        _dbscan_sql(0.25, 5),
     )
     r.add(
         "ml_9_hierarchical",
