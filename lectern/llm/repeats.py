@@ -36,6 +36,8 @@ NAME = 200
 CHUNK = 1_000_000
 #: Contexts of a name that are compared in pairs; more are named string by string.
 PAIRWISE = 32
+#: Occurrences of a context from which on its rows are found without shuffling them.
+HOT = 1000
 
 
 def samples(text: bytes, length: int, name: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -206,12 +208,14 @@ def _remove(length: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataF
 def repeated_ranges(texts: DataFrame, length: int = LENGTH, name: int = NAME) -> DataFrame:
     """`row`, `start`, `stop`: ranges of starts of strings of `length` bytes that also start elsewhere. Input: `row`, `text`, without nulls."""
     found = cut_lineage(texts.mapInPandas(_sample_rows(length, name), SAMPLE))
-    names = found.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    again = cut_lineage(found.join(names, "name"))
+    # A common passage falls together here, before anything is shuffled by its name.
     classes = cut_lineage(
-        again.groupBy("name", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "more", "spot")).alias("one"))
+        found.groupBy("name", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "more", "spot")).alias("one"))
     )
-    whole = again.join(classes.where("n > 1").select("name", "context"), ["name", "context"], "left_semi").select(
+    copied = classes.where("n > 1").select("name", "context", "n")
+    hot = small(copied.where(F.col("n") >= HOT).select("name", "context"))
+    others = found.join(hot, ["name", "context"], "left_anti").join(copied.where(F.col("n") < HOT), ["name", "context"], "left_semi")
+    whole = found.join(hot, ["name", "context"], "left_semi").unionByName(others).select(
         "row", F.col("first").alias("start"), (F.col("first") + F.col("more")).alias("stop")
     )
     several = classes.groupBy("name").agg(F.count("*").alias("classes"), F.min("n").alias("least")).where("classes > 1 and least = 1")

@@ -39,8 +39,9 @@ def corpus(rng, alphabet):
     return texts
 
 
-@pytest.mark.parametrize("alphabet", ["ab", "abcdefgh é"])
-def test_equals_counting(spark, alphabet):
+@pytest.mark.parametrize(("alphabet", "hot"), [("ab", 1000), ("abcdefgh é", 1000), ("abcdefgh é", 3)])
+def test_equals_counting(spark, alphabet, hot, monkeypatch):
+    monkeypatch.setattr(R, "HOT", hot)
     rng = random.Random(5)
     texts = corpus(rng, alphabet)
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_bytes int").repartition(4)
