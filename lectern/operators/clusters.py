@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -269,7 +270,7 @@ def _cell_edges(
     core = cut_lineage(core.join(nodes, cells).select("_id", "_node", *columns, *cells))
     pairs = _cell_pairs(nodes, nodes.withColumnRenamed("_node", "b"), cells, axes, [F.col("_node").alias("a")]).where("a < b").select("a", "b")
     todo = pairs.select("a", "b", *[F.lit(0).cast("long").alias(f"{s}{i}") for s in "ab" for i in dims])
-    edges = nodes.select(F.col("_node").alias("a"), F.col("_node").alias("b")).limit(0)
+    found: list[DataFrame] = []  # no pair is found at two levels
     level = 0
     while True:
         boxes = _boxes(core, columns, cells, side, level)
@@ -309,10 +310,10 @@ def _cell_edges(
             )
         )
         linked = judged.where("_yes").select("a", "b").distinct()
-        edges = cut_lineage(edges.unionByName(linked))
-        todo = cut_lineage(judged.where("_open").join(linked, ["a", "b"], "left_anti").drop("_yes", "_open"))
+        found.append(linked)
+        todo = judged.where("_open").join(linked, ["a", "b"], "left_anti").drop("_yes", "_open")
         if todo.isEmpty():
-            return edges
+            return functools.reduce(DataFrame.unionByName, found)
         if level == FINEST:  # halves finer than a double can tell apart: the few points left are compared themselves
             parts = core.withColumns(_parts(columns, cells, side, level))
             point = lambda t: parts.select(
@@ -320,7 +321,7 @@ def _cell_edges(
             )
             both = todo.join(point("a"), ["a", *[f"a{i}" for i in dims]]).join(point("b"), ["b", *[f"b{i}" for i in dims]])
             last = both.where(_distance2([F.col(f"a_p{i}") for i in dims], [F.col(f"b_p{i}") for i in dims]) <= limit)
-            return cut_lineage(edges.unionByName(last.select("a", "b").distinct()))
+            return functools.reduce(DataFrame.unionByName, [*found, last.select("a", "b").distinct()])
         level += 1
 
 
