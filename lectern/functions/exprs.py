@@ -82,11 +82,54 @@ def numeric(df: DataFrame, name: str, default: float | None = None) -> Column:
     return number(name, default)
 
 
+# How dates are written with names of months, and what may follow a date.
+_MONTHS = (
+    "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+)
+_WEEKDAY = r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,? +)?"
+_CLOCK = r"(?:(?:t|,? +(?:at +)?)(\d{1,2})(?::(\d{2}))?(?::(\d{2})(\.\d{1,6})?\d*)? *([ap])?(?:\.?m\.?)? *(z|utc|gmt|[+-]\d{2}:?\d{2})?)?$"
+#: Patterns of lower-case texts with the groups that hold year, month and day; the groups of a time follow them.
+DATE_FORMS = (
+    (rf"^{_WEEKDAY}(\d{{1,2}})(?:st|nd|rd|th)?(?: of)?[ -]+({_MONTHS})\.?,?[ -]+(\d{{4}}){_CLOCK}", (3, 2, 1)),
+    (rf"^{_WEEKDAY}({_MONTHS})\.?[ -]+(\d{{1,2}})(?:st|nd|rd|th)?,?[ -]+(\d{{4}}){_CLOCK}", (3, 1, 2)),
+    (rf"^(\d{{4}})[/.](\d{{1,2}})[/.](\d{{1,2}}){_CLOCK}", (1, 2, 3)),
+    (rf"^(\d{{1,2}})[/.-](\d{{1,2}})[/.-](\d{{4}}){_CLOCK}", (3, 1, 2)),
+    (r"^(\d{4})(\d{2})(\d{2})(?:[t ]?(\d{2})(\d{2})(\d{2})?(\.\d{1,6})?()(z)?)?$", (1, 2, 3)),
+)
+
+
+def _date_form(low: Column, pattern: str, places: tuple[int, int, int]) -> Column:
+    """The time that a pattern finds: month and day change places if only that makes a date; a lone hour needs am or pm."""
+    part = lambda i: F.regexp_extract(low, pattern, i)
+    year, month, day = (part(i) for i in places)
+    named = F.floor((F.position(F.substring(month, 1, 3), F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3)
+    month = F.when(month.rlike("^[a-z]"), named).otherwise(month.try_cast("int"))
+    day = day.try_cast("int")
+    swap = (month > 12) & (day <= 12) if places == (3, 1, 2) else F.lit(False)
+    month, day = F.when(swap, day).otherwise(month), F.when(swap, month).otherwise(day)
+    hour, minute, second, half = part(4).try_cast("int"), part(5), part(6), part(8)
+    hour = F.when(half == "p", hour % 12 + 12).when(half == "a", hour % 12).otherwise(hour)
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    filled = lambda x: F.when(x == "", "00").otherwise(x)
+    zone = F.when(part(9).rlike("^[zug]"), "Z").otherwise(F.regexp_replace(part(9), r"^(...)(\d\d)$", "$1:$2"))
+    clock = F.concat(F.lit(" "), F.coalesce(two(hour), F.lit("00")), F.lit(":"), filled(minute), F.lit(":"), filled(second), part(7), zone)
+    found = F.concat(year, F.lit("-"), two(month), F.lit("-"), two(day), clock).try_cast("timestamp")
+    lone = (part(4) != "") & (minute == "") & (half == "")
+    return F.when(low.rlike(pattern) & ~lone, found)
+
+
 def timestamp(c: str | Column, formats: Iterable[str] = TIMESTAMP_FORMATS) -> Column:
-    """Timestamp coercion: ISO 8601 with optional fraction and offset, then an ordered list of formats; failures become null."""
+    """Timestamp coercion: ISO 8601 with optional fraction and offset, then an ordered list of formats; failures become null.
+
+    With the default list, dates with names of months, day before month where the month would be above 12, dots, compact digits and
+    offsets are tried last.
+    """
     text = F.trim(_col(c).cast("string"))
     iso = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("timestamp"))
-    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    # in a lambda, so that what few rows need does not swell the code that is generated for all
+    forms = F.transform(F.array(F.lower(text)), lambda low: F.coalesce(*[_date_form(low, *form) for form in DATE_FORMS]))
+    free = [F.get(forms, F.lit(0))] if tuple(formats) == TIMESTAMP_FORMATS else []
+    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in formats], *free)
 
 
 def as_timestamp(df: DataFrame, name: str) -> Column:

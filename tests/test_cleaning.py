@@ -90,3 +90,20 @@ def test_timestamp_forms(spark):
     texts = {"2024-01-02T03:04:05.250Z": "03:04:05.25", "2024-01-02 03:04:05+02:00": "01:04:05", "2024/01/02 03:04:05": "03:04:05", "2024/01/02": "00:00:00", "2024": None, "x": None}
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", timestamp("t").cast("string").alias("v"))
     assert {r.t: r.v for r in df.collect()} == {t: v and f"2024-01-02 {v}" for t, v in texts.items()}
+
+
+def test_times_in_free_forms(spark):
+    """The forms that a reader of mixed dates takes; what is no date stays null."""
+    want = {
+        "5 Jan 2024": "2024-01-05 00:00:00", "05-Jan-2024 13:45": "2024-01-05 13:45:00", "January 5, 2024": "2024-01-05 00:00:00",
+        "Fri, 05 Jan 2024 13:45:10 GMT": "2024-01-05 13:45:10", "sept. 3rd, 2024 at 4 pm": "2024-09-03 16:00:00", "1st of March 2024 12:05 AM": "2024-03-01 00:05:00",
+        "20240105": "2024-01-05 00:00:00", "20240105T134510": "2024-01-05 13:45:10", "20240105134510": "2024-01-05 13:45:10",
+        "31/12/2024": "2024-12-31 00:00:00", "1/2/2024": "2024-01-02 00:00:00", "31.12.2024 23:59:58.5": "2024-12-31 23:59:58.5", "2024.1.5": "2024-01-05 00:00:00",
+        "05-01-2024": "2024-05-01 00:00:00", "1/2/2024 3:04:05 PM": "2024-01-02 15:04:05", "2024/01/05 10:00:00 +0200": "2024-01-05 08:00:00",
+        "May 5 2024, 10:00 -05:00": "2024-05-05 15:00:00",
+        "invalid": None, "31 Foo 2024": None, "32/13/2024": None, "2024": None, "13/13/2024": None, "30 Feb 2024": None, "Jan 5": None, "1/2/2024 7": None, "12345678": None, "": None,
+    }
+    df = spark.createDataFrame([(t,) for t in want], "t string").repartition(3)
+    got = {r.t: r.v for r in df.select("t", timestamp("t").cast("string").alias("v")).collect()}
+    assert got == want
+    assert df.select(timestamp("t", ["yyyy"]).alias("v")).where("v is not null").count() == 1
