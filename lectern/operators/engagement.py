@@ -82,7 +82,7 @@ def engagement_scores(
 ) -> DataFrame:
     """Score, category and components of every learner.
 
-    One aggregation of the activity table gives three components. It is persisted,
+    One aggregation of the activity table gives three components. It is written,
     because the 95th percentile needs it before the scores do.
     """
     w = weights or ENGAGEMENT_WEIGHTS

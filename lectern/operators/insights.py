@@ -1,7 +1,7 @@
 """Insights: frames of zero, one or a few rows with category, severity and texts.
 
 Two aggregations feed all insights on course activity: one per course name, business unit
-and progress bin, and one per learner. They are a small fraction of the table and persisted.
+and progress bin, and one per learner. They are a small fraction of the table and written once.
 """
 
 from __future__ import annotations

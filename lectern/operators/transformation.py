@@ -97,6 +97,7 @@ VIDEO_COLUMNS = {
     "Video Completed": "video_completed",
     "Led to Enrollment": "led_to_enrollment",
 }
+# Columns of the learner and course dimensions.
 LEARNER_ATTRIBUTES = [
     "Name", "External ID", "Business Unit", "Role", "Location", "Location Region", "Location Country", "Manager Name",
 ]
