@@ -1,4 +1,4 @@
-"""The pipeline: every stage on what the one before kept, against plain Python."""
+"""The pipeline: every stage on what the one before kept, against the operators' own results."""
 
 import corpus_pipeline
 from lectern.llm.decontamination import contaminated
