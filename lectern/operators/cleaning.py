@@ -11,7 +11,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,9 @@ TIMESTAMP_NAMES = re.compile(
     r"(timestamp|datetime|date|time|created|updated|_at$|_on$|start|end|session)", re.IGNORECASE
 )
 
+# types whose least and greatest value a hash aggregation can keep
+FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
 
 @dataclass(frozen=True)
 class CleanOptions:
@@ -129,13 +132,26 @@ def infer_numbers(
     return df.withColumns(cast) if chosen else df
 
 
+def _least_of_each(group: GroupedData, c: str, keep: str) -> DataFrame:
+    """The first or last `c` of each group, or the only one; nulls are before all values."""
+    value = F.col(q(c))
+    rows = F.count(F.lit(1))
+    if keep == "last":
+        return group.agg(F.max(value).alias(c))
+    least = F.when(F.count(value) == rows, F.min(value)).alias(c)
+    if keep == "first":
+        return group.agg(least)
+    return group.agg(least, rows.alias("_copies")).where(F.col("_copies") == 1).drop("_copies")
+
+
 def remove_duplicates(
     df: DataFrame, keep: str = "first", subset: Sequence[str] | None = None, order_by: Sequence[str] = ()
 ) -> DataFrame:
     """Keep the first, the last or none of the rows that agree on `subset` (default: all data columns).
 
     One aggregation with map-side merging, so a value that fills a third of the table costs
-    one row per task. Nulls are equal to each other.
+    one row per task. Nulls are equal to each other; a row without an order comes first. Where
+    only one ordering column of fixed width is not compared, it is a hash aggregation.
     """
     order_by = _ordering(df, order_by)
     keys = list(subset) if subset else _data_columns(df, order_by)
@@ -147,6 +163,8 @@ def remove_duplicates(
     if keep != "false" and not order_by:
         raise ValueError("keeping the first or last row needs an ordering")
     group = df.groupBy(*[F.col(q(c)) for c in keys])
+    if len(rest) == 1 and rest == list(order_by) and isinstance(df.schema[rest[0]].dataType, FIXED_WIDTH):
+        return _least_of_each(group, rest[0], keep).select(*[F.col(q(c)) for c in df.columns])
     body = F.struct(*[F.col(q(c)) for c in rest]) if rest else F.struct(F.lit(0).alias("_x"))
     order = F.struct(*[F.col(q(c)) for c in order_by]) if order_by else F.lit(0)
     pick = (F.max_by if keep == "last" else F.min_by)(body, order).alias("_row")

@@ -51,6 +51,23 @@ def test_duplicates(spark, keep, ids):
     assert sorted(r["_row_id"] for r in out.collect()) == ids
 
 
+@pytest.mark.parametrize("keep,ids", [("first", [None, 4]), ("last", [2, 4]), ("false", [4])])
+def test_duplicates_without_an_order_come_first(spark, keep, ids):
+    rows = [("a", float("nan"), 2), ("a", float("nan"), None), ("a", float("nan"), 1), (None, None, 4)]
+    df = spark.createDataFrame(rows, "k string, v double, _row_id long")
+    by_hash = cleaning.remove_duplicates(df, keep, order_by=["_row_id"])
+    by_row = cleaning.remove_duplicates(df.withColumn("more", F.lit("x")), keep, ["k", "v"], ["_row_id"])
+    for out in (by_hash, by_row):
+        assert sorted((r["_row_id"] for r in out.collect()), key=str, reverse=True) == sorted(ids, key=str, reverse=True)
+
+
+@pytest.mark.parametrize("keep", ["first", "last", "false"])
+def test_duplicates_need_no_sort(spark, keep):
+    df = spark.createDataFrame([("a", None, 1), ("a", None, 2)], "k string, v int, _row_id long")
+    plan = cleaning.remove_duplicates(df, keep, order_by=["_row_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_sparse_columns_and_types(spark):
     df = spark.createDataFrame(
         [("1", None, "x"), ("2.5", None, "1"), ("3e1", "v", "y"), ("n/a", "w", None)], "a string, b string, c string"
