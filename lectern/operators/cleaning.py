@@ -132,8 +132,16 @@ def infer_numbers(
     return df.withColumns(cast) if chosen else df
 
 
-def _least_of_each(group: GroupedData, c: str, keep: str) -> DataFrame:
-    """The first or last `c` of each group, or the only one; nulls are before all values."""
+def _free_name(df: DataFrame, name: str) -> str:
+    """The name with as many leading underscores as make it differ from all columns, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def _least_of_each(group: GroupedData, c: str, keep: str, copies: str) -> DataFrame:
+    """The first or last `c` of each group, or the only one, counted as `copies`; nulls are before all values."""
     value = F.col(q(c))
     rows = F.count(F.lit(1))
     if keep == "last":
@@ -141,7 +149,7 @@ def _least_of_each(group: GroupedData, c: str, keep: str) -> DataFrame:
     least = F.when(F.count(value) == rows, F.min(value)).alias(c)
     if keep == "first":
         return group.agg(least)
-    return group.agg(least, rows.alias("_copies")).where(F.col("_copies") == 1).drop("_copies")
+    return group.agg(least, rows.alias(copies)).where(F.col(copies) == 1)
 
 
 def remove_duplicates(
@@ -163,15 +171,16 @@ def remove_duplicates(
     if keep != "false" and not order_by:
         raise ValueError("keeping the first or last row needs an ordering")
     group = df.groupBy(*[F.col(q(c)) for c in keys])
+    row, copies = _free_name(df, "_row"), _free_name(df, "_copies")
     if len(rest) == 1 and rest == list(order_by) and isinstance(df.schema[rest[0]].dataType, FIXED_WIDTH):
-        return _least_of_each(group, rest[0], keep).select(*[F.col(q(c)) for c in df.columns])
+        return _least_of_each(group, rest[0], keep, copies).select(*[F.col(q(c)) for c in df.columns])
     body = F.struct(*[F.col(q(c)) for c in rest]) if rest else F.struct(F.lit(0).alias("_x"))
     order = F.struct(*[F.col(q(c)) for c in order_by]) if order_by else F.lit(0)
-    pick = (F.max_by if keep == "last" else F.min_by)(body, order).alias("_row")
-    picked = group.agg(pick, F.count(F.lit(1)).alias("_copies"))
+    pick = (F.max_by if keep == "last" else F.min_by)(body, order).alias(row)
+    picked = group.agg(pick, F.count(F.lit(1)).alias(copies))
     if keep == "false":
-        picked = picked.where(F.col("_copies") == 1)
-    names = {c: F.col(q(c)) if c in keys else F.col("_row").getField(c) for c in df.columns}
+        picked = picked.where(F.col(copies) == 1)
+    names = {c: F.col(q(c)) if c in keys else F.col(row).getField(c) for c in df.columns}
     return picked.select(*[v.alias(k) for k, v in names.items()])
 
 

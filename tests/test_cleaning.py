@@ -61,6 +61,17 @@ def test_duplicates_without_an_order_come_first(spark, keep, ids):
         assert sorted((r["_row_id"] for r in out.collect()), key=str, reverse=True) == sorted(ids, key=str, reverse=True)
 
 
+@pytest.mark.parametrize("keep,ids", [("first", [1, 3]), ("last", [2, 3]), ("false", [3])])
+def test_duplicates_with_clashing_names(spark, keep, ids):
+    rows = [("a", 1, 1), ("a", 1, 2), ("b", 5, 3)]
+    df = spark.createDataFrame(rows, "_row string, _COPIES int, _row_id long")
+    by_hash = cleaning.remove_duplicates(df, keep, order_by=["_row_id"])
+    by_row = cleaning.remove_duplicates(df, keep, ["_row"], ["_row_id"])
+    for out in (by_hash, by_row):
+        assert out.columns == df.columns
+        assert sorted(r["_row_id"] for r in out.collect()) == ids
+
+
 @pytest.mark.parametrize("keep", ["first", "last", "false"])
 def test_duplicates_need_no_sort(spark, keep):
     df = spark.createDataFrame([("a", None, 1), ("a", None, 2)], "k string, v int, _row_id long")
