@@ -229,6 +229,7 @@ def all_insights(
     cube, learners = cut_lineage(activity_cube(activity)), cut_lineage(learner_cube(activity))
     parts = [overall_completion(cube), course_extremes(cube)]
     if scores is not None:
+        scores = cut_lineage(scores.select("email", "category"))  # read twice
         parts += [engagement_ratio(learners, scores), at_risk_share(scores)]
     parts.append(drop_off_zone(cube))
     if {"Business Unit", "business_unit"} & set(activity.columns):
