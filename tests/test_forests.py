@@ -41,6 +41,23 @@ def test_a_tree_equals_a_plain_recursion(depth):
     assert np.allclose(got[:, 0], plain(bins, y, w, bins, depth)) and (gains > 0).all()
 
 
+@pytest.mark.parametrize("classes", [0, 2, 3])
+def test_cells_of_small_nodes_are_not_built_when_empty(classes):
+    """The same cut and gain as from all cells, whatever bins hold rows; the work grows with the rows."""
+    n, rows = 60, 200
+    at = np.sort(np.append(np.arange(n), RNG.integers(0, n, rows - n)))
+    bins, w = RNG.integers(0, forests.BINS, rows).astype(np.uint8), RNG.integers(1, 4, rows)
+    y = RNG.integers(0, classes, rows).astype(float) if classes else RNG.integers(-9, 9, rows).astype(float)
+    slack = np.full(n, 1e-9)
+    cells = forests._cells(at * forests.BINS + bins, y, w, n * forests.BINS, classes).reshape(n, forests.BINS, -1)
+    cut, gain = forests._best(cells, classes, slack)
+    stats = (np.eye(classes)[y.astype(int)] if classes else np.stack([np.ones(rows), y], 1)).astype(np.int64) * w[:, None]
+    found, gained = forests._best_occupied(at, bins, stats, n, classes, slack)
+    many = np.isfinite(gain)
+    assert (many == np.isfinite(gained)).all() and np.allclose(gain[many], gained[many])
+    assert (cut[many] == found[many]).all()
+
+
 def test_class_shares_of_a_leaf():
     bins, y = np.array([[0], [0], [0], [5]], np.uint8), np.array([0.0, 1.0, 1.0, 2.0])
     got, _ = forests.grow(bins, y, np.array([1, 1, 2, 1], np.int32), bins, 1, 0, 3, 1, 30)
