@@ -99,3 +99,26 @@ def test_text_orderings_are_cut(spark, parts):
         assert [r.rn for r in mine] == list(range(1, len(mine) + 1)) and [r.prev for r in mine] == [None, *[r.word for r in mine[:-1]]]
     with pytest.raises(ValueError, match="must start with"):
         ordering.with_order_bucket(df.withColumn("m", F.array("word")), ["m"])
+
+
+@pytest.mark.parametrize("whole_rows", [0, 50, 1000])
+def test_only_large_groups_are_cut(spark, whole_rows):
+    rng = np.random.default_rng(4)
+    rows = [("hot" if i % 2 else f"k{i % 9}", int(w), None if i % 7 == 0 else float(v), i) for i, (w, v) in enumerate(rng.integers(0, 40, (600, 2)))]
+    df = spark.createDataFrame([*rows, (None, 1, 1.0, 600)], "key string, when int, value double, id long").repartition(4)
+    out = ordered_window(df, ["key"], ["when", "id"], row_number="rn", lag={"prev": "value"}, running_max={"top": "value"}, whole_rows=whole_rows)
+    cut = "percentile_approx" in out._jdf.queryExecution().executedPlan().toString()
+    assert cut == (whole_rows < 300)  # half of the rows have one key
+    got = out.toPandas().sort_values(["key", "when", "id"], ignore_index=True)
+    assert len(got) == 600  # rows without a key are left out
+    groups = got.groupby("key")
+    assert (groups.cumcount() + 1 == got["rn"]).all()
+    assert np.allclose(got["prev"], groups["value"].shift(), equal_nan=True)
+    assert np.allclose(got["top"], groups["value"].transform(lambda s: s.ffill().expanding(min_periods=1).max()), equal_nan=True)
+
+
+def test_small_groups_are_not_cut(spark):
+    """The bounds, the joins and the second windows cost more than the rows where every group fits a task."""
+    df = spark.range(100).select((F.col("id") % 5).alias("key"), "id")
+    plan = ordered_window(df, ["key"], ["id"], row_number="rn")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Window [") == 1
