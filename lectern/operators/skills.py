@@ -114,7 +114,14 @@ def skill_profile(activity: DataFrame, email: str, skills: DataFrame | None = No
 
 
 def skill_gaps(scores: DataFrame, target_skills: Sequence[str] | None = None) -> DataFrame:
-    """Mean score, coverage and gap of every skill, largest gap first."""
+    """Mean score, coverage and gap of every skill, largest gap first.
+
+    The scores are written first: two aggregations read them, and neither then shares a task's memory with those that make them.
+    """
+    return _skill_gaps(cut_lineage(scores.select("email", "skill_name", "skill_category", "skill_score")), target_skills)
+
+
+def _skill_gaps(scores: DataFrame, target_skills: Sequence[str] | None = None) -> DataFrame:
     everyone = scores.agg(F.countDistinct("email").alias("_all"))
     kept = scores if target_skills is None else scores.where(F.col("skill_name").isin(*target_skills))
     per = kept.groupBy("skill_name", "skill_category").agg(
@@ -158,7 +165,7 @@ def skill_timeline(
         F.lit(0.0), F.coalesce("progress_pct", F.lit(0.0)) * 0.7 + F.when(F.col("is_completed"), 30.0).otherwise(0.0)
     )
     ordering = [c for c in order_by if c != "enrollment_ts"]
-    # the window reads its input three times: keep the few columns it needs
+    # the window reads its input several times: keep the few columns it needs
     slim = mine.select("email", "course_id", "enrollment_ts", *ordering, gained.alias("_gain"))
     rows = cut_lineage(slim.join(skills, "course_id"))
     best = ordered_window(rows, ["email", "skill_name"], ["enrollment_ts", *ordering], running_max={"_best": "_gain"})
@@ -182,6 +189,6 @@ def skill_metrics(activity: DataFrame, skills: DataFrame | None = None) -> dict[
     scores = cut_lineage(skill_scores(activity, skills))
     return {
         "summary": skill_summary(scores),
-        "skill_gaps": skill_gaps(scores).limit(10),
+        "skill_gaps": _skill_gaps(scores).limit(10),
         "org_distribution": skill_distribution(scores),
     }
