@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.functions.pvalues import f_upper, t_two_sided
 from lectern.operators import statistics
@@ -128,3 +129,13 @@ def test_t_test_and_anova(frame, spark):
     assert one["f_statistic"] == pytest.approx(16.0) and one["p_value"] == pytest.approx(0.0251, abs=1e-4)
     alone = statistics.anova(small.where("g = 'a'"), "v", "g").first()
     assert alone["p_value"] == 1.0 and not alone["significant"] and alone["error"]
+
+
+def test_kendall_builds_the_tables_of_a_pairs_own_places(spark, monkeypatch):
+    """A column of few values has one place, however many places the other one needs."""
+    monkeypatch.setattr(statistics, "RANK_BASE", 3)
+    points = spark.range(60).select(F.lit(0).alias("a"), F.lit(1).alias("b"), (F.col("id") % 3).alias("x"), F.col("id").alias("y"), F.lit(1).cast("long").alias("w"))
+    more = points.select("a", F.lit(2).alias("b"), "y", F.col("x").alias("y"), "w").toDF("a", "b", "x", "y", "w")
+    found = statistics._table_cells(points.unionByName(more)).select("a", "b", "lx", "ly").distinct().collect()
+    assert sorted(tuple(r) for r in found) == [*[(0, 1, 0, j) for j in range(4)], *[(0, 2, i, 0) for i in range(4)]]
+    assert statistics._table_cells(points.limit(0)).count() == 0
