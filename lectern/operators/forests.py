@@ -35,8 +35,8 @@ MAIN = -1
 #: A gain that is a smaller share of the squared labels is rounding.
 NOISE = 1e-12
 
-#: Labels are summed as whole numbers with so many bits where nodes have few rows.
-LABEL_BITS = 36
+#: Bits of the whole numbers as which labels are summed where nodes have few rows; the rows take their part of them.
+SUM_BITS = 62
 
 POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
 
@@ -136,7 +136,8 @@ def grow(
     nodes, level = np.array([root], np.int64), root.bit_length() - 1
     at, spot, rows = np.zeros(len(y), np.int64), np.zeros(len(asked), np.int64), np.arange(len(asked))
     worth = np.ones(len(y)) if classes else y * y
-    unit = 1.0 if classes else 2.0 ** min(LABEL_BITS - math.frexp(float(np.abs(y).max(initial=0)) or 1.0)[1], 400)
+    bits = SUM_BITS - int(w.sum()).bit_length()
+    unit = 1.0 if classes else 2.0 ** min(bits - math.frexp(float(np.abs(y).max(initial=0)) or 1.0)[1], 400)
     while len(nodes):
         n = len(nodes)
         totals = _cells(at, y, w, n, classes)
