@@ -94,97 +94,144 @@ def _best(cells: np.ndarray, classes: int, slack: np.ndarray) -> tuple[np.ndarra
     return cut, gain[np.arange(len(gain)), cut]
 
 
+def _best_sorted(
+    node: np.ndarray, bins: np.ndarray, running: list[np.ndarray], totals: list[np.ndarray], scale: float, classes: int, slack: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes that a column can split, and as `_best` the bin to split after and its gain: only the cells that hold rows are built.
+
+    Rows come by node and bin, with the running sums of their statistics; `totals` are the sums of the nodes, 0 for one without rows here.
+    Sums are whole numbers, so differences are exact; those of labels are in units of `scale`.
+    """
+    ends = np.flatnonzero((bins[1:] != bins[:-1]) & (node[1:] == node[:-1]))
+    if not len(ends):
+        return ends, ends, np.zeros(0)
+    at = node.take(ends)
+    lower, whole = np.empty((2, len(totals), len(ends)))
+    for k, (run, total) in enumerate(zip(running, totals)):
+        lower[k] = run.take(ends) - (np.cumsum(total) - total).take(at)
+        whole[k] = total.take(at)
+    if not classes:
+        lower[1] *= scale
+        whole[1] *= scale
+    gain = _purity(lower.T, classes) + _purity((whole - lower).T, classes) - _purity(whole.T, classes)
+    starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    found = at.take(starts)
+    least = np.zeros(len(slack))
+    least[found] = np.maximum.reduceat(gain, starts) - slack.take(found)
+    good = np.flatnonzero(gain >= least.take(at))
+    nodes = at.take(good)
+    first = good[np.append(True, nodes[1:] != nodes[:-1])]
+    return found, bins.take(ends.take(first)).astype(np.int64), gain.take(first)
+
+
 def _best_occupied(
     at: np.ndarray, bins: np.ndarray, stats: np.ndarray, places: int, classes: int, slack: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Like `_best`, for nodes of few rows: only the cells that hold rows are built. Every node has a row.
-
-    `stats` are whole numbers, so sums up to a cell less sums up to its node are exact.
-    """
-    order = np.lexsort((bins, at.astype(np.uint16) if places <= 1 << 16 else at))
-    node, cut = at[order], bins[order]
-    ends = np.flatnonzero(np.append((node[1:] != node[:-1]) | (cut[1:] != cut[:-1]), True))
-    node, cut, sums = node[ends], cut[ends], np.cumsum(stats[order], 0)[ends]
-    last = np.append(node[1:] != node[:-1], True)
-    totals = sums[last]
-    before = np.zeros_like(totals)
-    before[1:] = totals[:-1]
-    every = (totals - before).astype(float)
-    left = (sums - before[node]).astype(float)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = _purity(left, classes) + _purity(every[node] - left, classes) - _purity(every, classes)[node]
-    gain[last] = -np.inf
-    starts = np.append(0, np.flatnonzero(last)[:-1] + 1)
-    good = gain >= (np.maximum.reduceat(gain, starts) - slack)[node]
-    first = np.minimum.reduceat(np.where(good, np.arange(len(gain)), len(gain)), starts)
-    return cut[first].astype(np.int64), gain[first]
+    """`_best_sorted` for rows in any order."""
+    order = np.lexsort((bins, at))
+    totals = np.zeros((places, stats.shape[1]), np.int64)
+    np.add.at(totals, at, stats)
+    found, cuts, gains = _best_sorted(at[order], bins[order], list(np.cumsum(stats[order], 0).T), list(totals.T), 1.0, classes, slack)
+    cut, gain = np.zeros(places, np.int64), np.full(places, -np.inf)
+    cut[found], gain[found] = cuts, gains
+    return cut, gain
 
 
 def _answer(cells: np.ndarray, classes: int) -> np.ndarray:
     return cells / cells.sum(-1, keepdims=True) if classes else cells[:, 1:] / cells[:, :1]
 
 
+def _alike(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts rows of equal bins together, and where each new one begins."""
+    order = np.lexsort(bins.T)
+    by = bins[order]
+    return order, np.flatnonzero(np.append(True, (by[1:] != by[:-1]).any(1))[: len(by)])
+
+
 def grow(
     bins: np.ndarray, y: np.ndarray, w: np.ndarray, asked: np.ndarray, root: int, tree: int, classes: int, chosen: int, depth: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """Answers of one tree below `root` for the rows `asked`, and the gains of its columns.
 
-    Nodes have the number of their path: the children of n are 2n and 2n + 1.
+    Nodes have the number of their path: the children of n are 2n and 2n + 1. Rows of equal bins go the same way in any tree, so
+    the tree is grown from one sum for each combination of bins that occurs, and rows of equal bins share an answer.
     """
     columns = bins.shape[1]
+    same, heads = _alike(asked)
+    asked = asked[same[heads]]
     answers, gains = np.zeros((len(asked), classes or 1)), np.zeros(columns)
     nodes, level = np.array([root], np.int64), root.bit_length() - 1
-    at, spot, rows = np.zeros(len(y), np.int64), np.zeros(len(asked), np.int64), np.arange(len(asked))
-    worth = np.ones(len(y)) if classes else y * y
+    spot, rows = np.zeros(len(asked), np.int64), np.arange(len(asked))
+    # labels are summed as whole numbers, so that sums of neighbouring rows are differences of running sums
     bits = SUM_BITS - int(w.sum()).bit_length()
     unit = 1.0 if classes else 2.0 ** min(bits - math.frexp(float(np.abs(y).max(initial=0)) or 1.0)[1], 400)
+    w = w.astype(np.int64)
+    stats = [w * (y == k) for k in range(classes)] if classes else [w, w * np.rint(y * unit).astype(np.int64)]
+    worth = w.astype(float) if classes else w * y * y
+    order, begins = _alike(bins)
+    stats, worth = [np.add.reduceat(x.take(order), begins) for x in stats], np.add.reduceat(worth.take(order), begins)
+    by, size = np.ascontiguousarray(bins[order[begins]].T), len(begins)
+    # the rows of every node along each column: sorted once, and kept in order when nodes are split
+    turns = [np.argsort(x, kind="stable") for x in by]
+    starts = np.zeros(1, np.int64)
     while len(nodes):
-        n = len(nodes)
-        totals = _cells(at, y, w, n, classes)
-        slack = NOISE * np.bincount(at, w * worth, n)
+        n, here = len(nodes), turns[0]
+        sizes = np.diff(np.append(starts, len(here)))
+        node = np.repeat(np.arange(n), sizes)
+        totals = [np.add.reduceat(x.take(here), starts) for x in stats]
+        every = np.stack([totals[0], totals[1] / unit], 1) if not classes else np.stack(totals, 1).astype(float)
+        slack = NOISE * np.add.reduceat(worth.take(here), starts)
         cut, column, best = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -np.inf)
-        one = np.empty(n, y.dtype)
-        one[at] = y  # the label of some row of the node
-        mixed = np.flatnonzero(np.bincount(at, y != one[at], n)) if level < depth else np.zeros(0, np.int64)
-        if len(mixed):
-            m, here = len(mixed), np.arange(len(at))
-            if m < n:
-                spots = np.full(n, -1)
-                spots[mixed] = np.arange(m)
-                here = np.flatnonzero(spots[at] >= 0)
-            into = spots[at[here]] if m < n else at
-            few = m * BINS > len(here)
-            if few:
-                parts = np.eye(classes, dtype=np.int64)[y[here].astype(np.int64)] if classes else np.stack([np.ones(len(here), np.int64), np.rint(y[here] * unit).astype(np.int64)], 1)
-                parts *= w[here, None]
-            picks, noise = _picks(nodes[mixed], tree, columns, chosen), slack[mixed]
-            top = np.full(m, -np.inf)
+        # a node of one class or one row is not split
+        mixed = (every > 0).sum(1) > 1 if classes else sizes > 1
+        if level < depth and mixed.any():
+            picks, every_node = _picks(nodes, tree, columns, chosen), np.arange(n)
+            cuts, tops = np.zeros((columns, n), np.int64), np.full((columns, n), -np.inf)
+            for c in range(columns):
+                wanted = mixed & (picks == c).any(1) if chosen < columns else mixed
+                at, turn, sums = node, turns[c], totals
+                if not wanted.all():
+                    some = np.flatnonzero(wanted.take(node))
+                    at, turn, sums = node.take(some), turn.take(some), [x * wanted for x in totals]
+                found, after, gain = _best_sorted(at, by[c].take(turn), [np.cumsum(x.take(turn)) for x in stats], sums, 1.0 / unit, classes, slack)
+                cuts[c, found], tops[c, found] = after, gain
             for s in range(picks.shape[1]):
                 of = picks[:, s]
-                found = bins[here, of[into]]
-                if few:
-                    c, g = _best_occupied(into, found, parts, m, classes, noise * unit * unit)
-                    g = g / (unit * unit)
-                else:
-                    place = into * BINS + found
-                    c, g = _best(_cells(place, y[here], w[here], m * BINS, classes).reshape(m, BINS, -1), classes, noise)
-                better = g > top + noise
-                cut[mixed[better]], column[mixed[better]], top[better] = c[better], of[better], g[better]
-            best[mixed] = top
+                gain = tops[of, every_node]
+                better = gain > best + slack
+                cut[better], column[better], best[better] = cuts[of, every_node][better], of[better], gain[better]
         split = best > slack
         gains += np.bincount(column[split], best[split], columns)
         ended = ~split[spot]
-        answers[rows[ended]] = _answer(totals, classes)[spot[ended]]
+        answers[rows[ended]] = _answer(every, classes)[spot[ended]]
         # two places for every node that is split
         first = np.cumsum(split) * 2 - 2
         nodes = np.stack([2 * nodes[split], 2 * nodes[split] + 1], 1).ravel()
         rows, spot = rows[~ended], spot[~ended]
         spot = first[spot] + (asked[rows, column[spot]] > cut[spot])
-        going = split[at]
-        bins, y, w, worth, at = bins[going], y[going], w[going], worth[going], at[going]
-        at = first[at] + (bins[np.arange(len(at)), column[at]] > cut[at])
+        going = np.flatnonzero(split.take(node))
+        node, here = node.take(going), here.take(going)
+        above = np.zeros(size, np.int64)
+        ups = (by.take(column.take(node) * size + here) > cut.take(node)).astype(np.int64)
+        above[here] = ups
+        uppers = np.bincount(node, ups, n).astype(np.int64)
+        lowers = np.where(split, sizes - uppers, 0)
+        children = np.stack([lowers, uppers], 1)[split].ravel()
+        starts = np.cumsum(children) - children
+        # a lower row follows all upper rows of the nodes before, an upper row all lower ones up to those of its own node
+        uppers_before, lowers_upto = (np.cumsum(uppers) - uppers).take(node), np.cumsum(lowers).take(node)
+        place = np.arange(len(node)) + uppers_before
+        shift = lowers_upto - 1 - place
+        for c in range(columns):
+            turn = turns[c].take(going)
+            up = above.take(turn)
+            run = np.cumsum(up)
+            turns[c] = np.empty_like(turn)
+            turns[c][place - run + up * (shift + 2 * run)] = turn
         level += 1
-    return answers, gains
+    out = np.empty((len(same), classes or 1))
+    out[same] = np.repeat(answers, np.diff(np.append(heads, len(same))), 0)
+    return out, gains
 
 
 def split_points(values: np.ndarray) -> np.ndarray:

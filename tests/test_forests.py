@@ -113,3 +113,16 @@ def test_scores_of_a_task_cover_every_learner(spark):
     assert len(found) == n and found["completion_probability"].between(0, 1).all()
     assert found.groupby("_label")["completion_probability"].mean().diff().iloc[1] > 0.8
     assert out["metrics"].first()["auc_roc"] > 0.95 and out["top_flagged"].count() == 20
+
+
+def test_rows_of_equal_bins_are_grown_as_one(monkeypatch):
+    """The work of a tree follows the combinations of bins, not the rows; answers are those of the plain recursion."""
+    cells = np.unique(RNG.integers(0, forests.BINS, (40, 3)).astype(np.uint8), axis=0)
+    bins = cells[RNG.integers(0, len(cells), 3000)]
+    y, w = RNG.normal(0, 1, 3000) + bins[:, 0], RNG.integers(1, 4, 3000)
+    most, plainly = [], forests._best_sorted
+    monkeypatch.setattr(forests, "_best_sorted", lambda node, *rest: most.append(len(node)) or plainly(node, *rest))
+    got, _ = forests.grow(bins, y, w, np.concatenate([cells, cells]), 1, 0, 0, 3, 30)
+    assert max(most) <= len(cells)
+    want = [np.average(y[(bins == c).all(1)], weights=w[(bins == c).all(1)]) for c in cells]
+    assert np.allclose(got[:, 0], want * 2)
