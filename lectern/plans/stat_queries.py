@@ -221,7 +221,7 @@ BEHAVIOUR = ["courses_enrolled", "total_hours", "avg_hours_per_course", "std_hou
 
 
 def _matrix(t: Tables) -> DataFrame:
-    return features.learner_matrix(t.course_activity(), t.engagement(), t.video_activity(), REFERENCE_DATE)
+    return features.scored_learner_matrix(t.course_activity(), t.video_activity(), REFERENCE_DATE)
 
 
 def _students(t: Tables) -> DataFrame:

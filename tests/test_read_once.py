@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from lectern.operators import insights, models
+from lectern.operators import engagement, features, insights, models
 
 
 def _plan(df):
@@ -33,3 +33,30 @@ def test_scores_are_worked_out_once(spark):
     activity = spark.createDataFrame([("1", "a", True, 60.0)], "email string, course_name string, is_completed boolean, progress_pct double")
     out = insights.all_insights(activity.withColumn("learning_hours", F.lit(1.0)), scores, generated_at="2002-01-01")
     assert "Range" not in _plan(out) and out.where("title like '%30%'").count() == 1
+
+
+def test_matrix_and_scores_aggregate_a_fact_once(spark):
+    """The matrix with scores equals the two made one after the other, and every row is read once."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        read.add(1)
+        return x
+
+    row = F.col("id")
+    email, day = F.when(row % 9 > 0, (row % 9).cast("string")), F.timestamp_seconds(10**9 + row * 86400)
+    activity = spark.range(60).select(
+        email.alias("email"), F.lit("c").alias("course_id"), (row % 7 * 10.0).alias("progress_pct"), (row * 0.5).alias("hours"),
+        (row % 3 == 0).alias("is_completed"), day.alias("enrollment_ts"), day.alias("last_activity_ts"),
+    )
+    plain = activity.withColumnRenamed("hours", "learning_hours")
+    videos = spark.range(20).select(
+        (row % 5).cast("string").alias("email"), (row % 4).alias("video_id"), (row * 2.0).alias("completion_pct"),
+        (row * 60.0).alias("watch_seconds"), (row % 3).alias("watch_count"),
+    )
+    scores = engagement.engagement_scores(plain, videos, "2002-01-01")
+    want = features.learner_matrix(plain, scores, videos, "2002-01-01")
+    got = features.scored_learner_matrix(activity.withColumn("learning_hours", counted("hours")), videos, "2002-01-01")
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert read.value <= 60
