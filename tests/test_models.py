@@ -154,3 +154,21 @@ def test_labels_of_any_kind(planted):
     assert {r["label"] for r in boosted["confusion"].collect()} == {"1", "2"}
     with pytest.raises(ValueError, match="more than"):
         models.classification(planted, "a", "id", ["b"], "logistic")
+
+
+def test_boosting_sees_a_row_for_each_combination_of_places(spark, monkeypatch):
+    """The same model as the engine's from all rows, from as many weighted rows as combinations occur."""
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame(rng.integers(0, 4, (600, 2)).astype(float), columns=["a", "b"]).assign(_key=range(600))
+    pdf["y"] = pdf["a"] - pdf["b"] ** 2 + rng.normal(0, 0.3, 600)
+    fitted_rows = []
+    for target, kinds in (("y", 0), ("three", 3), ("two", 2)):
+        pdf["three"], pdf["two"] = pdf["y"].rank().floordiv(201), (pdf["y"] > pdf["y"].median()).astype(float)
+        data = models.assembled(spark.createDataFrame(pdf.assign(label=pdf[target].astype(float))), ["a", "b"])
+        made = lambda: models.classifier("gradient_boosting", 600, kinds, 4) if kinds else models.regressor("gradient_boosting", 600, trees=4)  # noqa: B023, E731
+        kept = models.cut_lineage
+        monkeypatch.setattr(models, "cut_lineage", lambda df: fitted_rows.append(kept(df)) or fitted_rows[-1])
+        got = models.boosted(data, ["a", "b"], made(), kinds)
+        monkeypatch.setattr(models, "cut_lineage", kept)
+        both = [m.transform(data).select("_key", "prediction").orderBy("_key").toPandas()["prediction"] for m in (got, made().fit(data))]
+        assert np.allclose(*both) and fitted_rows[-1].count() <= 16 * max(1, kinds)
