@@ -1,7 +1,7 @@
 """Insights: frames of zero, one or a few rows with category, severity and texts.
 
 Two aggregations feed all insights on course activity: one per course name, business unit
-and progress bin, and one per learner. They are a small fraction of the table and written once.
+and progress bin, and one per learner. They are a small fraction of the table, made in one pass and written once.
 """
 
 from __future__ import annotations
@@ -77,6 +77,37 @@ def learner_cube(activity: DataFrame) -> DataFrame:
     )
 
 
+def written_cubes(activity: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`activity_cube` and `learner_cube` from one pass over the activity, written."""
+    unit = next((F.col(f"`{c}`") for c in ("Business Unit", "business_unit") if c in activity.columns), None)
+    hours = F.col("learning_hours") if "learning_hours" in activity.columns else F.lit(None).cast("double")
+    rows = activity.select(
+        "course_name",
+        (unit if unit is not None else F.lit(None).cast("string")).alias("unit"),
+        F.col("is_completed").alias("done"),
+        right_closed_bins("progress_pct", ZONE_EDGES, ZONE_LABELS).alias("zone"),
+        "email",
+        F.col("email").isNotNull().alias("_known"),
+        F.col("is_completed").alias("_done"),
+        hours.alias("_hours"),
+    )
+    per_bin, per_learner = ["course_name", "unit", "done", "zone"], ["email"]
+    sets = [[F.col(c) for c in names] for names in (per_bin, per_learner)]
+    both = cut_lineage(
+        rows.groupingSets(sets, *[F.col(c) for c in per_bin + per_learner]).agg(
+            F.grouping("email").alias("_bin"),
+            F.count(F.lit(1)).alias("n"),
+            F.count_if("_known").alias("emails"),
+            F.sum("_hours").alias("hours"),
+            F.count("_hours").alias("hours_n"),
+            F.coalesce(F.max("_done"), F.lit(False)).alias("has_completion"),
+        )
+    )
+    cube = both.where("_bin = 1").select(*per_bin, "n", "emails", "hours", "hours_n")
+    learners = both.where("_bin = 0 AND email IS NOT NULL").select("email", "has_completion", F.coalesce("hours", F.lit(0)).alias("hours"))
+    return cut_lineage(cube), learners  # the cube is small and read often
+
+
 def _rate(cube: DataFrame, *by: str) -> DataFrame:
     known = cube.where(F.col("done").isNotNull())
     grouped = known.groupBy(*by) if by else known.groupBy()
@@ -226,7 +257,7 @@ def all_insights(
     generated_at: datetime | str,
 ) -> DataFrame:
     """Every insight, by severity and then in the order of the generators."""
-    cube, learners = cut_lineage(activity_cube(activity)), cut_lineage(learner_cube(activity))
+    cube, learners = written_cubes(activity)
     parts = [overall_completion(cube), course_extremes(cube)]
     if scores is not None:
         scores = cut_lineage(scores.select("email", "category"))  # read twice

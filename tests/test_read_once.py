@@ -60,3 +60,23 @@ def test_matrix_and_scores_aggregate_a_fact_once(spark):
     got = features.scored_learner_matrix(activity.withColumn("learning_hours", counted("hours")), videos, "2002-01-01")
     assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert read.value <= 60
+
+
+def test_cubes_come_from_one_pass(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        read.add(1)
+        return x
+
+    row = F.col("id")
+    plain = spark.range(60).select(
+        F.when(row % 9 > 0, (row % 9).cast("string")).alias("email"), F.when(row % 4 > 0, (row % 4).cast("string")).alias("course_name"),
+        F.when(row % 5 > 0, (row % 2).cast("string")).alias("business_unit"), F.when(row % 11 > 0, row % 3 == 0).alias("is_completed"),
+        (row % 13 * 9.0).alias("progress_pct"), F.when(row % 7 > 0, row * 0.5).alias("learning_hours"),
+    )
+    cube, learners = insights.written_cubes(plain.withColumn("learning_hours", counted("learning_hours")))
+    for got, want in ((cube, insights.activity_cube(plain)), (learners, insights.learner_cube(plain))):
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert read.value <= 60
