@@ -12,7 +12,7 @@ from lectern.operators import engagement, statistics, transformation
 from lectern.plans.registry import Registry
 from lectern.plans.sql import rnd, with_tables
 from lectern.plans.tables import ROW_ID, Tables
-from lectern.session import scratch_folder
+from lectern.session import scratch_folder, side_by_side
 from lectern.sources import readers, writers
 
 
@@ -27,14 +27,17 @@ def _course_file(t: Tables, name: str = "course_activity.csv", folder: str | Non
 
 
 def _named_exports(t: Tables) -> str:
-    """A folder with one export per kind, a modified copy and a file of no kind."""
+    """A folder with one export per kind, a modified copy and a file of no kind, written side by side."""
     folder = scratch_folder(t.spark)
-    _course_file(t, "Course_Activity.csv", folder)
-    _written(t.course_export().drop(ROW_ID).limit(0), folder, "Course_Activity_Modified.csv")
-    _written(t.program_export().drop(ROW_ID), folder, "program_activity.csv")
-    _written(t.specialization_export(), folder, "specialization_activity.csv")
-    _written(t.video_export().drop(ROW_ID), folder, "video_clip_activity.csv")
-    _written(t.raw("nation"), folder, "nations.csv")
+    files = [
+        (t.course_export().drop(ROW_ID), "Course_Activity.csv"),
+        (t.course_export().drop(ROW_ID).limit(0), "Course_Activity_Modified.csv"),
+        (t.program_export().drop(ROW_ID), "program_activity.csv"),
+        (t.specialization_export(), "specialization_activity.csv"),
+        (t.video_export().drop(ROW_ID), "video_clip_activity.csv"),
+        (t.raw("nation"), "nations.csv"),
+    ]
+    side_by_side(lambda file: _written(file[0], folder, file[1]), files)
     return folder
 
 

@@ -20,7 +20,7 @@ from lectern.functions.fixed import (
     EXPORT_REQUIRED,
     STUDENT_REQUIRED,
 )
-from lectern.session import cut_lineage
+from lectern.session import cut_lineage, side_by_side
 from lectern.sources.records import read_records
 
 ROW_ID = "_row_id"
@@ -211,17 +211,22 @@ def read_student_source(spark: SparkSession, file: str, source: str | None = Non
 def read_directory(
     spark: SparkSession, folder: str, pattern: str = "*.csv", source: str | None = None
 ) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """All matching files by name without extension, and the errors of those that failed."""
+    """All matching files by name without extension, and the errors of those that failed; files are inspected side by side."""
     frames: dict[str, DataFrame] = {}
     errors: dict[str, str] = {}
-    for file in list_files(spark, folder):
-        name = _base(file)
-        if not fnmatch.fnmatch(name, pattern):
-            continue
+
+    def read(file: str) -> DataFrame | Exception:
         try:
-            frames[name.rsplit(".", 1)[0]] = read_student_source(spark, file, source)
+            return read_student_source(spark, file, source)
         except Exception as e:
-            errors[name] = str(e)
+            return e
+
+    files = [file for file in list_files(spark, folder) if fnmatch.fnmatch(_base(file), pattern)]
+    for name, found in zip(map(_base, files), side_by_side(read, files), strict=True):
+        if isinstance(found, Exception):
+            errors[name] = str(found)
+        else:
+            frames[name.rsplit(".", 1)[0]] = found
     return frames, errors
 
 
