@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ from lectern.functions.exprs import numeric_columns, q, rounded
 from lectern.functions.ordering import exact_quantiles
 from lectern.operators import forests
 from lectern.operators.features import model_inputs
-from lectern.session import cut_lineage
+from lectern.session import cut_lineage, side_by_side
 
 SEED = 42
 #: Depth of a forest's trees if none is given; as deep as the engine's own trees may be.
@@ -412,20 +413,41 @@ def train_and_score(
     The flagged list is highest first for dropout and lowest first for the other tasks. If
     all learners have one label, there is only a metrics row with `error`.
     """
-    spark = labelled.sparkSession
+    return _trained(_task_rows(labelled, task, test_size, cv_folds), task, model_type, trees, depth)
+
+
+@dataclass
+class TaskRows:
+    """Written rows of a task with their folds, its columns and the learners per label; or why it cannot be trained."""
+
+    data: DataFrame
+    columns: list[str]
+    per: dict[float, int]
+    folds: int = 0
+    error: str | None = None
+
+
+def _task_rows(labelled: DataFrame, task: str, test_size: float, cv_folds: int) -> TaskRows:
     columns = model_inputs(labelled, ["_label"])
     data, columns = prepare(labelled, "_label", columns, "email")
     data = standardised(cut_lineage(data), columns)
     per = {r["label"]: r["n"] for r in data.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(per) < 2:
-        return {"metrics": _summary(spark, task=task, error=f"Only one class present for {task}. Cannot train.")}
+        return TaskRows(data, columns, per, error=f"Only one class present for {task}. Cannot train.")
     if min(per.values()) < 2:
-        return {"metrics": _summary(spark, task=task, error=f"A class of {task} has a single member. Cannot train.")}
+        return TaskRows(data, columns, per, error=f"A class of {task} has a single member. Cannot train.")
     # both classes are declared, as a fold may hold only one
     nominal = {"ml_attr": {"type": "nominal", "vals": ["0.0", "1.0"]}}
     data = data.withColumn("label", F.col("label").alias("label", metadata=nominal))
     folds = min(cv_folds, max(2, min(per.values())))
     data = cut_lineage(numbered(with_folds(split(assembled(data, columns), test_size, stratify=True), folds)))
+    return TaskRows(data, columns, per, folds)
+
+
+def _trained(rows: TaskRows, task: str, model_type: str, trees: int, depth: int) -> dict[str, DataFrame]:
+    spark, data, columns, per, folds = rows.data.sparkSession, rows.data, rows.columns, rows.per, rows.folds
+    if rows.error:
+        return {"metrics": _summary(spark, task=task, error=rows.error)}
     kind = TASKS.get(model_type, "random_forest")
 
     def fit(part: DataFrame) -> Model:
@@ -453,15 +475,21 @@ def train_and_score(
     }
 
 
-def all_predictions(matrix: DataFrame, model_type: str = "random_forest", **options) -> dict[str, dict[str, DataFrame]]:
-    """Dropout, completion and high performers from one learner matrix, which is written first."""
+def all_predictions(
+    matrix: DataFrame, model_type: str = "random_forest", test_size: float = 0.2, cv_folds: int = 5, trees: int = 100, depth: int = DEPTH
+) -> dict[str, dict[str, DataFrame]]:
+    """Dropout, completion and high performers from one learner matrix, which is written first.
+
+    Their rows are prepared side by side. The fits of one task follow those of another, as each fit keeps its rows in memory.
+    """
     matrix = cut_lineage(matrix)
     labels = {
         "dropout": dropout_label(matrix),
         "completion": completion_label(matrix),
         "high_performer": _high_performers(matrix),
     }
-    return {task: train_and_score(df, task, model_type, **options) for task, df in labels.items()}
+    ready = side_by_side(lambda task: _task_rows(labels[task], task, test_size, cv_folds), labels)
+    return {task: _trained(rows, task, model_type, trees, depth) for task, rows in zip(labels, ready, strict=True)}
 
 
 def prediction_metrics(predictions: dict[str, dict[str, DataFrame]]) -> DataFrame:
