@@ -86,3 +86,34 @@ def test_few_points(spark):
     text = spark.createDataFrame([("x", 1.0), ("b", 9.0), ("c", 9.5)], "name string, v double")
     out = clustering(text, ["v"], "name", "hierarchical", 2)
     assert sorted(map(tuple, out["labels"].collect())) == [("b", 0), ("c", 0), ("x", 1)] and out["merges"].count() == 2
+
+
+@pytest.mark.parametrize("slow", [0.9, 0.0])
+def test_all_points_are_merged_however_many(spark, monkeypatch, slow):
+    """No point is replaced by the mean of others before the merges: rounds over boxes give the merges of the whole."""
+    monkeypatch.setattr(module, "WHOLE", 40)
+    monkeypatch.setattr(module, "BOX", 48)
+    monkeypatch.setattr(module, "SLOW", slow)
+    points = np.random.default_rng(9).normal(size=(400, 2)) * [1, 3]
+    points = np.concatenate([points, points[:60]])
+    labels, steps = ward(frame(spark, points), ["a", "b"], "key", 6)
+    steps = steps.orderBy("step").toPandas()
+    found = merges(points[:400], np.where(np.arange(400) < 60, 2, 1))
+    assert steps.step.tolist() == list(range(399)) and np.allclose(steps.height, [h for *_, h in found])
+    rows, _ = module._named(found, list(range(400)), list(range(400)), [2 if i < 60 else 1 for i in range(400)])
+    assert [tuple(r) for r in steps[["one", "other", "points"]].itertuples(index=False)] == [(r[2], r[3], r[5]) for r in rows]
+    group = cut_merges(found, 400, 6)
+    mine = dict(labels.collect())
+    assert len(mine) == 460 and all(mine[i] == mine[i - 400] for i in range(400, 460))
+    assert [mine[i] for i in range(400)] == np.unique(group, return_inverse=True)[1].tolist()
+
+
+def test_the_highest_merge_may_be_one_of_a_round(spark, monkeypatch):
+    """Two far points that are each other's nearest are still two clusters."""
+    monkeypatch.setattr(module, "WHOLE", 10)
+    monkeypatch.setattr(module, "BOX", 16)
+    near = np.random.default_rng(3).normal(size=(60, 2)) * 1e-3
+    points = np.concatenate([near, [[0, 900], [0, 1700]]])
+    labels, steps = ward(frame(spark, points), ["a", "b"], "key", 3)
+    mine = dict(labels.collect())
+    assert {i for i in mine if mine[i] == 0} == set(range(60)) and (mine[60], mine[61]) == (1, 2) and steps.count() == 61
