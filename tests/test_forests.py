@@ -126,3 +126,24 @@ def test_rows_of_equal_bins_are_grown_as_one(monkeypatch):
     assert max(most) <= len(cells)
     want = [np.average(y[(bins == c).all(1)], weights=w[(bins == c).all(1)]) for c in cells]
     assert np.allclose(got[:, 0], want * 2)
+
+
+@pytest.mark.parametrize("classes", [0, 2])
+def test_rows_of_equal_bins_ask_once(spark, monkeypatch, classes):
+    """Answers leave the trees for each cell and fit, not for each row; no row is left out, in whatever batch or task its cell is."""
+    n, written, plainly = 4000, [], forests.cut_lineage
+    cells = RNG.integers(0, 5, (n, 3)).astype(float)
+    cells[: n // 2] = 2  # half of the rows are one cell, which is dealt over tasks
+    y = (cells[:, 0] > 2).astype(float) if classes else cells[:, 0] * 3 + RNG.normal(0, 0.1, n)
+    pdf = pd.DataFrame({"_id": range(n), "_key": range(n), "label": y, "_test": RNG.random(n) < 0.3, "_fold": RNG.integers(0, 2, n), "a": cells[:, 0], "b": cells[:, 1], "c": cells[:, 2]})
+    monkeypatch.setattr(forests, "cut_lineage", lambda df: written.append(plainly(df)) or written[-1])
+    found, _ = forests.forest(spark.createDataFrame(pdf).repartition(5), ["a", "b", "c"], 2, classes, 6)
+    found = found.toPandas()
+    answers = next(x for x in written if "tree" in x.columns).where("tree < 0")
+    assert answers.count() <= 3 * len(np.unique(cells, axis=0))
+    assert sorted(found["_id"]) == sorted([*range(n), *pdf["_id"][pdf["_test"]]])
+    if classes:
+        assert (found["prediction"] == found["label"]).mean() > 0.97
+        assert np.allclose([sum(p.toArray()) for p in found["probability"]], 1) and np.allclose([sum(p.toArray()) for p in found["rawPrediction"]], 6)
+    else:
+        assert np.abs(found["prediction"] - found["label"]).max() < 2
