@@ -7,7 +7,7 @@ of the plan that made them, and survives the loss of executors.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -34,6 +34,8 @@ SEED = 42
 DEPTH = 30
 #: Bins of a column in boosting, the engine's number.
 BINS = 32
+#: Rows that are projected at once for the kernel machine, and that its fits together may keep in memory.
+PIECE, WIDE_ROWS = 1000, 150_000
 #: Classes of a target; more are refused, as the confusion matrix grows with their square.
 MAX_CLASSES = 100
 
@@ -205,12 +207,13 @@ def rbf_features(df: DataFrame, columns: Sequence[str], size: int = 200, seed: i
     weights = draw.normal(0.0, math.sqrt(2 * gamma), (len(columns), size))
     shift = draw.uniform(0.0, 2 * math.pi, size)
 
+    # a task holds PIECE wide rows at once, not a whole batch of them
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def project(v: pd.Series) -> pd.Series:
-        if v.empty:
-            return pd.Series([], dtype=object)
-        x = np.stack(v.to_numpy())
-        return pd.Series(list(np.cos(x @ weights + shift) * math.sqrt(2.0 / size)))
+    def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for v in batches:
+            for i in range(0, len(v), PIECE):
+                x = np.stack(v.iloc[i : i + PIECE].to_numpy())
+                yield pd.Series(list(np.cos(x @ weights + shift) * math.sqrt(2.0 / size)))
 
     return df.withColumn("features", array_to_vector(project(cells)))
 
@@ -270,7 +273,7 @@ def _summary(spark: SparkSession, **values) -> DataFrame:
 
 def fitted(
     data: DataFrame, columns: Sequence[str], model_type: str, fit: Callable[[DataFrame], Model], score: Callable[[DataFrame], float],
-    folds: int, classes: int, trees: int, depth: int, score_all: bool = False,
+    folds: int, classes: int, trees: int, depth: int, score_all: bool = False, at_once: int | None = None,
 ) -> tuple[Model | np.ndarray, DataFrame, list[float]]:
     """The model (of a forest its importances), the scored test rows (or all rows), and the score of every fold."""
     if model_type == "random_forest":
@@ -283,7 +286,7 @@ def fitted(
             return fit(data.where(~F.col("_test")))
         return score(fit(data.where(F.col("_fold") != i)).transform(data.where(F.col("_fold") == i)))
 
-    *hits, model = together(one, folds + 1)
+    *hits, model = together(one, folds + 1, at_once)
     return model, cut_lineage(model.transform(data if score_all else data.where("_test"))), hits
 
 
@@ -326,9 +329,9 @@ def regression(
     return {"metrics": metrics, "importances": importances(model, columns, spark), "predictions": predictions}
 
 
-def together(fold: Callable[[int], Model | float], folds: int) -> list:
-    """What the folds (and the model of the training part) give; the engine runs their jobs side by side."""
-    with ThreadPoolExecutor(max_workers=max(1, folds)) as pool:
+def together(fold: Callable[[int], Model | float], folds: int, at_once: int | None = None) -> list:
+    """What the folds (and the model of the training part) give; the engine runs their jobs side by side, `at_once` at most."""
+    with ThreadPoolExecutor(max_workers=max(1, at_once or folds)) as pool:
         return list(pool.map(fold, range(folds)))
 
 
@@ -368,7 +371,9 @@ def classification(
         found = classifier(model_type, part.count(), rows["classes"], trees)
         return boosted(part, columns, found, rows["classes"]) if model_type == "gradient_boosting" else found.fit(part)
 
-    model, tested, folds = fitted(data, columns, model_type, fit, accuracy, cv_folds, len(names), trees, depth)
+    # each fit keeps its rows in memory, and those of the kernel machine are wide
+    at_once = max(1, min(cv_folds + 1, WIDE_ROWS // max(1, rows["train"] + rows["test"]))) if model_type == "svm" else None
+    model, tested, folds = fitted(data, columns, model_type, fit, accuracy, cv_folds, len(names), trees, depth, at_once=at_once)
     spark = df.sparkSession
     metrics = _summary(
         spark, model_type=model_type, target=target, **quality(_counts(tested)), cv_scores=folds,

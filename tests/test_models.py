@@ -1,5 +1,7 @@
 """Models on planted signals, and density clusters against a plain search."""
 
+import threading
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -172,3 +174,34 @@ def test_boosting_sees_a_row_for_each_combination_of_places(spark, monkeypatch):
         monkeypatch.setattr(models, "cut_lineage", kept)
         both = [m.transform(data).select("_key", "prediction").orderBy("_key").toPandas()["prediction"] for m in (got, made().fit(data))]
         assert np.allclose(*both) and fitted_rows[-1].count() <= 16 * max(1, kinds)
+
+
+def test_fits_of_the_kernel_machine_follow_one_another(spark, monkeypatch):
+    """Each keeps its wide rows in memory, so no two large ones are in it at once; a task projects few rows at a time."""
+    lock, now, most, made = threading.Lock(), [0], [0], models.classifier
+
+    class Watched:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def fit(self, part):
+            with lock:
+                now[0] += 1
+                most[0] = max(most[0], now[0])
+            try:
+                return self.inner.fit(part)
+            finally:
+                with lock:
+                    now[0] -= 1
+
+    monkeypatch.setattr(models, "classifier", lambda *a: Watched(made(*a).setMaxIter(3)))
+    monkeypatch.setattr(models, "WIDE_ROWS", 200)
+    x = np.random.default_rng(5).normal(0, 1, (150, 2))
+    pdf = pd.DataFrame({"k": range(150), "a": x[:, 0], "b": x[:, 1], "y": ((x**2).sum(1) < 1.2).astype(int)})
+    df = spark.createDataFrame(pdf)
+    out = models.classification(df, "y", "k", ["a", "b"], "svm", cv_folds=2)
+    assert most[0] == 1 and out["metrics"].first()["train_size"] > 0
+    whole = [r["features"].toArray() for r in models.rbf_features(df, ["a", "b"], 9).orderBy("k").collect()]
+    monkeypatch.setattr(models, "PIECE", 7)
+    cut = [r["features"].toArray() for r in models.rbf_features(df.coalesce(1), ["a", "b"], 9).orderBy("k").collect()]
+    assert np.allclose(whole, cut) and len(cut) == 150
